@@ -44,6 +44,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns.
+
+    The optimizer would copy their expressions below the filter, each as often as it is named; beside a column that is
+    not deterministic it leaves them where they are.
+    """
+    d = df.withColumn("__at", F.monotonically_increasing_id())
+    return d.where(condition & (F.col("__at") >= 0)).drop("__at")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
