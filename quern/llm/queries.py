@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import common, fingerprints, quality_rules
+from quern.llm import common, fingerprints, packing, quality_rules, token_counts, token_files
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = common.new_folder(spark, "token-files")
+    token_files.write(common.table(spark, sf_dir, "documents"), at, tokenizer("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, at)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_quality_rules)
+    found = (op1_fingerprints, op2_quality_rules, op7_token_counts, op8_token_files, op9_packing)
     return {f.__name__: f for f in found}
 
 
