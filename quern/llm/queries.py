@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import common, fingerprints, neardup, packing, quality_rules, token_counts, token_files
+from quern.llm import common, fingerprints, neardup, packing, quality_rules, substrings, token_counts, token_files
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
 
@@ -43,7 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_quality_rules, op4_near_duplicates, op7_token_counts, op8_token_files, op9_packing)
+    found = (op1_fingerprints, op2_quality_rules, op3_substrings, op4_near_duplicates, op7_token_counts, op8_token_files, op9_packing)
     return {f.__name__: f for f in found}
 
 
