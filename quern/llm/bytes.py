@@ -60,13 +60,13 @@ class Block:
         self.first, self.data, self.bounds = first, data, bounds
         self.rows = len(bounds) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, blanks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every word, and for each row the number of its first word (one more than rows)."""
         n = len(self.data)
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(self.rows + 1, np.int64)
-        blank = SPACE[self.data]
+        blank = blanks[self.data]
         before = np.empty(n, bool)
         before[0], before[1:] = True, blank[:-1]
         before[self.bounds[:-1][self.bounds[:-1] < n]] = True
