@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import common, fingerprints, neardup, packing, quality_rules, substrings, token_counts, token_files
+from quern.llm import (
+    common,
+    fingerprints,
+    mixing,
+    neardup,
+    packing,
+    quality_rules,
+    substrings,
+    token_counts,
+    token_files,
+    toxicity,
+    warc,
+)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +58,42 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = common.new_folder(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), at)
+    return warc.read(spark, at)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(common.table(spark, sf_dir, "documents")).drop("text", "n_chars")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents")
+    net = toxicity.train(*toxicity.sample(documents, common.table(spark, sf_dir, "labels")))
+    return toxicity.scored(documents, net)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_quality_rules, op3_substrings, op4_near_duplicates, op7_token_counts, op8_token_files, op9_packing)
+    found = (
+        op1_fingerprints,
+        op2_quality_rules,
+        op3_substrings,
+        op4_near_duplicates,
+        op5_warc,
+        op6_mixing,
+        op7_token_counts,
+        op8_token_files,
+        op9_packing,
+        op10_toxicity,
+        pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
