@@ -7,7 +7,8 @@ a key unless at most one of the 20 collections agrees: once in 80 000 cases.
 Documents of one shingle set are one class, and classes meet in the tables.  A group of m classes in a bucket is never
 expanded into its pairs: each class is compared with the bucket's smallest, first with the one it meets most often,
 then with the others that are not yet in its component.  What is still apart in a bucket after that (the classes outside
-its commonest component against all of it) is compared pair by pair, so no candidate of the tables is left out.
+its commonest component against all others) is met by the rarest shingles of their full sets, an exact filter that
+leaves out no pair as alike as asked for (``prefix_pairs``), and confirmed.
 
 Edge cases: a null text counts as empty; an empty set links with nothing; a text of fewer than ``k`` words is one
 shingle; repeated rows are one class; rows that share a doc_id count as one document; a row with a null doc_id links
@@ -148,6 +149,48 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("ca <> cb").select("a", "b")
 
 
+def prefix_pairs(ends: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``ends`` (b, component, out) of different components, one of them ``out``, that may be alike.
+
+    Exact: shingles are ordered by how few ends have them, and two sets as alike as asked for share one of their first
+    ``n - ceil(percent * n) + 1``; that shared shingle's places and the sizes also bound how much they can share.
+    A shingle of a single end takes a place but is never listed.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                names, sets = part.column(0).to_numpy(), []
+                for block in blocks(pa.array([unpack(x.as_py()) for x in part.column(1)], pa.binary())):
+                    sets += shingles(block, k)
+                sizes = np.array([len(x) for x in sets])
+                columns = [np.repeat(names, sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["b", "n", "shingle"])
+
+    d = texts.join(ends.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "z")
+    rows = common.written(d.mapInArrow(listed, "b long, n long, shingle long"), "shingles")
+    many = rows.groupBy("shingle").agg(F.count("*").alias("ends")).where("ends > 1")
+    rows = rows.join(many, "shingle")
+    mine = Window.partitionBy("b")
+    rows = rows.withColumn("single", F.col("n") - F.count("*").over(mine))
+    rows = rows.withColumn("place", F.col("single") + F.row_number().over(mine.orderBy("ends", "shingle")))
+    rows = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    rows = common.written(rows.join(ends, "b").select("shingle", "b", "n", "place", "component", "out"), "prefixes")
+    x = rows.where("out").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "place", "component")])
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("n_x") - F.col("place_x"))
+    fits = (
+        (F.col("component") != F.col("component_x"))
+        & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x"))
+        & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_x")))
+    )
+    pairs = x.join(rows, "shingle").where(fits)
+    return pairs.select(F.least("b", "b_x").alias("a"), F.greatest("b", "b_x").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """For each row doc_id, n_shingles, component_id (the smallest doc_id linked with it over any path) and kept."""
     signed = common.written(signatures(documents, k), "signatures")
@@ -188,10 +231,9 @@ def near_duplicates(documents: DataFrame, k: int = K, percent: int = PERCENT) ->
     left = common.written(left.where("low <> high").select("key", "b", "component"), "apart")
     counts = left.groupBy("key", "component").count()
     common_one = counts.groupBy("key").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"))
-    left = left.join(common_one, "key")
-    outside = left.where("component <> main").select("key", F.col("b").alias("x"), F.col("component").alias("cx"))
-    pairs = outside.join(left, "key").where("cx <> component")
-    pairs = pairs.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    outside = left.join(common_one, "key").where("component <> main").select("b").distinct().withColumn("out", F.lit(True))
+    ends = left.select("b", "component").distinct().join(outside, "b", "left")
+    pairs = prefix_pairs(ends, texts, k, percent)
     pairs = common.written(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = common.written(links.union(confirmed(pairs, texts, k, percent)), "links")

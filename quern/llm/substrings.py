@@ -282,7 +282,7 @@ def cut(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     nameless = documents.where("doc_id IS NULL")
     d = d.unionByName(compressed(nameless.withColumn("doc_id", F.lit(0))).withColumn("doc_id", F.lit(None).cast("long")), True)
     others = [c for c in texts.columns if c != "z"]
-    fields = [texts.schema[c] for c in others]
+    fields = [T.StructField(c, d.schema[c].dataType) for c in others]  # doc_id is null in nameless rows
     fields += [T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()))]
     fields += [T.StructField("text", T.StringType())] * keep_text
     n = len(others)
