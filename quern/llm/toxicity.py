@@ -16,7 +16,7 @@ Edge cases: a null text counts as empty; a text without letters scores 0; withou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -215,35 +215,50 @@ def _read(texts: list[str]):
     return np.array(keys, np.uint64), np.concatenate(first_grams) if first_grams else flat, of, flat, bounds
 
 
-def _log_odds(rows: np.ndarray, items: np.ndarray, n: int, labels: np.ndarray) -> np.ndarray:
-    """For items 0..n-1 how much likelier label 1 is in rows that have them, shrunk to 0 by ``PRIOR`` rows; 0 below ``LEAST_ROWS``."""
-    pairs = np.unique(rows * n + items)
-    row, item = pairs // n, pairs % n
+def _log_odds(parts: Iterable[tuple[np.ndarray, np.ndarray]], n: int, labels: np.ndarray) -> np.ndarray:
+    """For items 0..n-1 how much likelier label 1 is in rows that have them, shrunk to 0 by ``PRIOR`` rows; 0 below ``LEAST_ROWS``.
+
+    ``parts`` are (rows, items); a row's items all lie in one part.
+    """
     share = labels.mean()
-    positive = np.bincount(item, labels[row], n)
-    total = np.bincount(item, minlength=n)
+    positive, total = np.zeros(n), np.zeros(n, np.int64)
+    for rows, items in parts:
+        pairs = np.unique(rows * n + items)
+        row, item = pairs // n, pairs % n
+        positive += np.bincount(item, labels[row], n)
+        total += np.bincount(item, minlength=n)
     p = (positive + PRIOR * share) / (total + PRIOR)
     odds = np.log(p / (1 - p)) - np.log(share / (1 - share))
     return np.where(total >= LEAST_ROWS, odds, 0).astype(np.float32)  # rare ones would give their own rows away
 
 
+def _grams_by_row(bounds: np.ndarray, flat: np.ndarray, first: np.ndarray, grams: np.ndarray, rows: int = 64):
+    """(row, gram) of each text's distinct words, some texts at a time."""
+    for i in range(0, len(bounds) - 1, rows):
+        ends = bounds[i : i + rows + 1]
+        row = np.repeat(np.arange(i, i + len(ends) - 1), np.diff(ends))
+        pairs = np.unique(row * len(first) + flat[ends[0] : ends[-1]])
+        row, word = pairs // len(first), pairs % len(first)
+        size = first[word + 1] - first[word]
+        at = np.repeat(first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        yield np.repeat(row, size), grams[at]
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 2, epochs: int = 6, rate: float = 0.01) -> Network:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Network()
     keys, grams, of, flat, bounds = _read(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    odds = _log_odds(row, flat, len(keys), y)
+    odds = _log_odds([(row, flat)], len(keys), y)
     first = np.searchsorted(of, np.arange(len(keys) + 1))
-    size = np.diff(first)[flat]
-    each = np.repeat(first[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    gram_odds = _log_odds(np.repeat(row, size), grams[each], BUCKETS, y)
+    gram_odds = _log_odds(_grams_by_row(bounds, flat, first, grams), BUCKETS, y)
     net = Network({int(k): float(o) for k, o in zip(keys, odds, strict=True) if o}, gram_odds, trained=True)
 
     start, of_row = windows(bounds)
     fixed = net.fixed(keys, grams, of)
     at, there = steps(start, of_row, bounds)
-    worst = (fixed[flat[at]].max(2) * there).max(1)  # before the network can tell, the odds do
+    worst = (fixed.max(1)[flat[at]] * there).max(1)  # before the network can tell, the odds do
     rng, moments, step = np.random.default_rng(11), {}, 0
     weight = np.where(y == 1, np.sqrt((1 - y.mean()) / y.mean()), 1.0).astype(np.float32)
 
@@ -363,5 +378,3 @@ def scored(documents: DataFrame, net: Network, threshold: float = THRESHOLD) ->
     d = d.mapInArrow(work, "doc_id long, score double")
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return d.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
