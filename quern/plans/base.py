@@ -19,7 +19,7 @@ class Query:
 
 
 _FOUND: dict[str, Query] = {}
-_MODULES: tuple[str, ...] = ("quern.plans.text_queries", "quern.plans.relational_queries", "quern.plans.lexicon_queries")
+_MODULES: tuple[str, ...] = ("quern.plans.text_queries", "quern.plans.relational_queries", "quern.plans.lexicon_queries", "quern.plans.verb_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
