@@ -1,7 +1,7 @@
 """Vectorised word spans and hashes over the bytes of an Arrow text column.
 
 Everything works on the column's own UTF-8 buffer, a few megabytes at a time, so a task needs memory in proportion
-to ``BLOCK`` (or to its longest single text), never to its partition.  A word is a maximal run of bytes outside
+to ``BLOCK`` (some 60 bytes for each of its bytes, or of its longest single text's), never to its partition.  A word is a maximal run of bytes outside
 ``[\\x20\\x09-\\x0D]``; all other characters, whatever their script, belong to words.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -39,18 +39,20 @@ def table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95) + _U(seed))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P), np.full(n, _P_INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _raised(BLOCK + 1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = BLOCK
-    while size < n:
-        size *= 2
-    return _powers(size)
+    """At least ``n`` powers; a worker keeps those for a usual block only, a longer text's are made anew."""
+    return _kept_powers() if n <= BLOCK + 1 else _raised(n)
 
 
 class Block:

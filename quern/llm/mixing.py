@@ -7,21 +7,24 @@ cell's tokens that the fit keeps, and a hash of doc_id decides, so a rerun picks
 Every value of a margin has a target of its own, however many there are; null is a class by itself.  With given targets
 those that they do not name (and null) share the class "other".  A table of at most ``CELLS`` cells and ``BYTES`` of
 names is raked in the driver and broadcast, a larger one by groupBy and join for each margin; both give the same fit.
-Without given targets a margin's are its token shares to the power ``SMOOTH``, which lifts small sources.  A topic is a
-coarse class of vocabulary: two majority bits over the hashes of the distinct longer words.
+Without given targets a margin's are its token shares to the power ``SMOOTH``, which lifts small sources.  A topic is
+the nearest of some centroids of term weights, learned from all rows (``topics``).  Texts are read once: what they are
+measured by is written to the shared folder.
 
-Edge cases: a null text has no tokens and topic 0; a class without tokens is kept whole; targets beyond what a class
+Edge cases: a null text has no tokens and the topic "none"; a class without tokens is kept whole; targets beyond what a class
 has are met by all it has, the rest goes to the other classes; repeated rows are picked together; rows of null doc_id
 share one decision; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import common
+from quern.llm import common, topics
 
 SMOOTH, KEEP, SEED = 0.7, 0.8, 20240101
 #: Up to here the driver rakes; nothing is left out beyond.
@@ -29,17 +32,6 @@ CELLS, BYTES = 50_000, 8_000_000
 OTHER = "other"
 MARGINS = ("source", "lang", "topic")
 SWEEPS, TOLERANCE = 200, 1e-9
-_LONGER = 5
-
-
-def with_topic(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_tokens (words, long) and topic (0 to 3, as a string)."""
-    df = df.withColumn("__w", common.words(F.col(text)))
-    df = df.withColumn("n_tokens", F.size("__w").cast("long"))
-    longer = F.array_distinct(F.filter("__w", lambda x: F.length(x) >= _LONGER))
-    df = df.withColumn("__w", F.transform(longer, lambda x: F.xxhash64(x)))
-    bit = lambda b: (2 * F.size(F.filter("__w", lambda x: F.shiftright(x, b).bitwiseAND(F.lit(1)) == 1)) > F.size("__w")).cast("int")
-    return df.withColumn("topic", (bit(7) + 2 * bit(19)).cast("string")).drop("__w")
 
 
 def filled(available: np.ndarray, shares: np.ndarray, total: float) -> np.ndarray:
@@ -68,7 +60,8 @@ def raked(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             factor = np.divide(target, sums, out=np.ones_like(sums), where=sums > 0)
             fit = np.minimum(fit * factor[code], cells)
         if np.abs(fit - before).max(initial=0) <= TOLERANCE * max(cells.max(initial=0), 1):
-            break
+            return fit
+    warnings.warn(f"raking still moved after {sweeps} sweeps", stacklevel=2)
     return fit
 
 
@@ -161,27 +154,44 @@ def _by_joins(cells: DataFrame, targets: dict, keep: float, sweeps: int) -> Data
         fit = now.drop("before")
         if moved <= TOLERANCE * max(largest, 1):
             break
+    else:
+        warnings.warn(f"raking still moved after {sweeps} sweeps", stacklevel=2)
     p = fit.select(*keys, F.when(F.col("t") > 0, F.col("fit") / F.col("t")).otherwise(1.0).alias("p"))
     return common.written(d.join(p, keys).select(*MARGINS, "p"), "kept")
 
 
 def fitted(
-    documents: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int | None = None
+    measured: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int | None = None
 ) -> tuple[DataFrame, bool]:
-    """Each (source, lang, topic), as strings, with the share ``p`` of its tokens that the fit keeps; whether it is small."""
-    cells = with_topic(documents.select("source", "lang", "text")).drop("text")
-    cells = cells.groupBy(*[F.col(m).cast("string").alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("t"))
+    """Each (source, lang, topic), as strings, with the share ``p`` of its tokens that the fit keeps; whether it is small.
+
+    ``measured``: rows of source, lang, topic and n_tokens.
+    """
+    cells = measured.groupBy(*[F.col(m).cast("string").alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("t"))
     cells = common.written(cells, "cells")
     n = cells.agg(F.count("*"), F.sum(sum(F.coalesce(F.octet_length(m), F.lit(0)).cast("long") for m in MARGINS))).first()
     small = n[0] <= CELLS and (n[1] or 0) <= BYTES
     return (_by_driver if small else _by_joins)(cells, targets or {}, keep, sweeps or SWEEPS), small
 
 
-def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = SEED) -> DataFrame:
+def measured(documents: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``documents`` with n_tokens and topic, from a table in the shared folder."""
+    added = {"n_tokens", "topic", "weight", "probability", "selected", "__v"}
+    d = topics.measured(documents.select(*[c for c in documents.columns if c.lower() not in added]), keep_text)
+    d = common.written(d, "measured")
+    return topics.with_topic(d, topics.fitted(d))
+
+
+def mixed(
+    documents: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    keep: float = KEEP,
+    seed: int = SEED,
+    keep_text: bool = True,
+) -> DataFrame:
     """``documents`` with n_tokens, topic, weight (over the plain share kept), probability and selected."""
-    cells, small = fitted(documents, targets, keep)
-    added = {"n_tokens", "topic", "weight", "probability", "selected"}
-    d = with_topic(documents.select(*[c for c in documents.columns if c.lower() not in added]))
+    d = measured(documents, keep_text)
+    cells, small = fitted(d, targets, keep)
     lookup = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], (F.col("p") / keep).alias("weight"), F.least("p", F.lit(1.0)).alias("probability"))
     same = [F.col(m).cast("string").eqNullSafe(F.col(f"__{m}")) for m in MARGINS]
     d = d.join(F.broadcast(lookup) if small else lookup, same, "left").drop(*[f"__{m}" for m in MARGINS])

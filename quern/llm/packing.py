@@ -3,15 +3,16 @@
 A sequence has limits on tokens, segments and loss-bearing tokens.  It is filled by taking, again and again, the
 waiting piece that fits and whose sizes have the greatest dot product with what the sequence has left of each limit
 (both as shares of the limit).  Pieces that would fit no more are cut: the last free place takes the head of a longer
-piece, so that a sequence is full unless its segments or loss-bearing tokens run out first.  Tokens of a piece bear
-loss unless they are the document's first ``prompt`` ones.
+piece, so that a sequence is full unless its segments or loss-bearing tokens run out first.  A document's first tokens,
+its prompt, bear no loss: as many as the column ``prompt`` says, or where a table has none, one in ``PROMPT_EVERY``.
+When what waits cannot fill a sequence within the limits, the rest goes into sequences of a power of two tokens, which
+need no padding.
 
-Work is done in blocks of ``BLOCK_IDS`` ids within a task, with no shuffle; sequence ids are unique over all tasks.
-What is left of a block at its end is shorter than one sequence and is cut into sequences of a power of two tokens,
-which need no padding.
+Work is done in blocks of ``BLOCK_IDS`` ids within a task, with no shuffle; sequence ids are unique over all tasks.  A
+document of more ids than that is a block of its own.
 
 Edge cases: a null text counts as empty and consists of the end id; repeated rows are packed each; doc_id may be null;
-an empty table has no pieces.
+a null or negative prompt is 0, one beyond the document's end is all of it; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.llm.bytes import blocks
 from quern.llm.tokens import pieces
 
-BLOCK_IDS = 4_000_000
+BLOCK_IDS, PROMPT_EVERY = 1_000_000, 8
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,10 @@ class Limits:
     loss: int = 2048
 
 
+#: For running text, an eighth of which is prompt: either limit is met by some sequences and exceeded by none.
+DOCUMENTS = Limits(2048, 16, 1856)
+
+
 @dataclass
 class Piece:
     doc: int
@@ -50,6 +55,10 @@ class Piece:
     def loss(self) -> int:
         return max(0, self.start + self.length - max(self.start, self.loss_from))
 
+    def within(self, loss: float) -> int:
+        """The most of its first tokens that bear no more than ``loss``."""
+        return min(self.length, max(0, self.loss_from - self.start) + int(loss))
+
     def cut(self, length: int) -> tuple[Piece, Piece]:
         return (
             Piece(self.doc, self.start, length, self.loss_from),
@@ -97,54 +106,58 @@ class Waiting:
             return None
         return int(np.argmax(np.where(fits, self.sizes @ weights, -1.0)))
 
-    def longest(self) -> int | None:
-        if not self.there.any():
+    def filling(self, left: np.ndarray) -> tuple[int, int] | None:
+        """The kind whose head takes up most of what is left (of equals the longest), and how many tokens it takes."""
+        usable = np.minimum(np.minimum(self.sizes[:, 0], left[0]), self.sizes[:, 0] - self.sizes[:, 2] + left[2])
+        usable = np.where(self.there, usable, 0)
+        most = usable.max(initial=0)
+        if most <= 0:
             return None
-        return int(np.argmax(np.where(self.there, self.sizes[:, 0], -1)))
+        return int(np.argmax(np.where(usable == most, self.sizes[:, 0], -1))), int(most)
 
 
-def pack(docs: list[tuple[int, int]], limits: Limits = Limits(), whole_tail: bool = False) -> list[list[Piece]]:
-    """Sequences of pieces for documents of (tokens, prompt tokens); ``Piece.doc`` is a document's place in the list."""
+def pack(docs: list[tuple[int, int]], limits: Limits = Limits(), padded: bool = False) -> list[list[Piece]]:
+    """Sequences of pieces for documents of (tokens, prompt tokens); ``Piece.doc`` is a document's place in the list.
+
+    ``padded``: sequences that cannot be filled stay as they are instead of being cut to a power of two.
+    """
     waiting, out = Waiting(limits), []
     for doc, (n, prompt) in enumerate(docs):
         start = 0
         while n - start:
             piece = Piece(doc, start, min(limits.tokens, n - start), prompt)
-            if piece.loss > limits.loss:
-                piece = piece.cut(piece.length - (piece.loss - limits.loss))[0]
-            if piece.length == limits.tokens:
+            piece = piece.cut(piece.within(limits.loss))[0]
+            if piece.length == limits.tokens and piece.loss == limits.loss:
                 out.append([piece])  # full by itself
             else:
                 waiting.add(piece)
             start += piece.length
     while waiting.tokens:
-        tail = waiting.tokens < limits.tokens and not whole_tail
-        size = 1 << (waiting.tokens.bit_length() - 1) if tail else limits.tokens
-        left, sequence = np.array([size, limits.segments, limits.loss], float), []
+        left, sequence = np.array([limits.tokens, limits.segments, limits.loss], float), []
         while left[0] and left[1]:
-            at = None
-            if left[1] > 1 or waiting.tokens <= left[0]:
-                at = waiting.best(left)
+            at = waiting.best(left) if left[1] > 1 else None  # the last segment must fill what is left
             if at is not None:
                 piece = waiting.take(at)
-            else:  # none fits, or one segment is left: the head of the longest fills it
-                at = waiting.longest()
-                if at is None:
+            else:  # none fits, or one segment is left
+                found = waiting.filling(left)
+                if found is None:
                     break
-                piece = waiting.take(at)
-                room = int(left[0])
-                if piece.length > room:
-                    piece, rest = piece.cut(room)
-                    waiting.add(rest)
-                if piece.loss > left[2]:
-                    short = piece.length - int(piece.loss - left[2])
-                    if short <= 0:
-                        waiting.add(piece)
-                        break
-                    piece, rest = piece.cut(short)
+                piece = waiting.take(found[0])
+                if found[1] < piece.length:
+                    piece, rest = piece.cut(found[1])
                     waiting.add(rest)
             sequence.append(piece)
             left -= (piece.length, 1, piece.loss)
+        held = limits.tokens - int(left[0])
+        over = held - (1 << held.bit_length() - 1) if held < limits.tokens and not padded else 0
+        while over:  # not full: only a power of two needs no padding
+            piece = sequence.pop()
+            if piece.length > over:
+                piece, rest = piece.cut(piece.length - over)
+                sequence.append(piece)
+                piece = rest
+            over -= piece.length
+            waiting.add(piece)
         out.append(sequence)
     return out
 
@@ -155,7 +168,7 @@ SCHEMA = (
 
 
 def packed(
-    documents: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), prompt: int = 1, block_ids: int = BLOCK_IDS
+    documents: DataFrame, path: str, end_id: int = 1, limits: Limits = DOCUMENTS, block_ids: int = BLOCK_IDS
 ) -> DataFrame:
     """The pieces of all documents with the sequence and the offset where each lies."""
 
@@ -163,37 +176,55 @@ def packed(
         encoder = pieces(path, lead=False)
         sequence_id = TaskContext.get().partitionId() << 40
         names: list = []
-        ids: list[np.ndarray] = []
+        prompts: list[int] = []
+        parts: list[np.ndarray] = []  # ids of some documents on end, with their end ids
+        sizes: list[int] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence_id, names, ids, held
-            rows: list[tuple] = []
-            for sequence in pack([(len(x), prompt) for x in ids], limits):
+            nonlocal sequence_id, held
+            flat = np.concatenate(parts).astype("<u4", copy=False)
+            first = np.cumsum([0, *sizes])
+            columns: list[list[int]] = [[] for _ in _NAMES]
+            for sequence in pack(list(zip(sizes, prompts, strict=True)), limits):
                 offset = 0
                 for p in sequence:
-                    crc = zlib.crc32(ids[p.doc][p.start : p.start + p.length].astype("<u4").tobytes())
-                    rows.append((names[p.doc], p.start, p.length, crc, len(ids[p.doc]), sequence_id, offset, p.loss))
+                    at = int(first[p.doc]) + p.start
+                    crc = zlib.crc32(flat[at : at + p.length])
+                    row = (names[p.doc], p.start, p.length, crc, sizes[p.doc], sequence_id, offset, p.loss)
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
                     offset += p.length
                 sequence_id += 1
-            names, ids, held = [], [], 0
-            for i in range(0, len(rows), 10_000):
-                columns = zip(*rows[i : i + 10_000], strict=True)
+                if len(columns[0]) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
+                    columns = [[] for _ in _NAMES]
+            if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
+            names.clear(), prompts.clear(), parts.clear(), sizes.clear()
+            held = 0
 
         for batch in batches:
+            given = batch.column(2).to_pylist() if batch.num_columns > 2 else None
             for block in blocks(batch.column(1)):
                 flat, where = encoder.encode(block)
+                parts.append(np.insert(flat, where[1:], np.uint32(end_id)))
+                size = (np.diff(where) + 1).tolist()
                 names += batch.column(0).slice(block.first, block.rows).to_pylist()
-                for r in range(block.rows):
-                    ids.append(np.append(flat[where[r] : where[r + 1]], np.uint32(end_id)))
-                    held += len(ids[-1])
+                sizes += size
+                if given:
+                    prompts += [max(0, x or 0) for x in given[block.first : block.first + block.rows]]
+                else:
+                    prompts += [n // PROMPT_EVERY for n in size]
+                held += len(parts[-1])
                 if held >= block_ids:
                     yield from flush()
-        if ids:
+        if sizes:
             yield from flush()
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, SCHEMA)
+    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    columns += [F.col("prompt").try_cast("long")] if "prompt" in documents.columns else []
+    return documents.select(*columns).mapInArrow(work, SCHEMA)
 
 
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -45,7 +45,9 @@ def tokenizer(name: str) -> str:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counted(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    at = common.new_folder(spark, "token-counts")
+    token_counts.write(common.table(spark, sf_dir, "documents"), at, tokenizer("word_bpe_49k.json"))
+    return token_counts.read(spark, at)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.packed(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limits=packing.DOCUMENTS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(common.table(spark, sf_dir, "documents")).drop("text", "n_chars")
+    return mixing.mixed(common.table(spark, sf_dir, "documents").drop("n_chars"), keep_text=False)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,8 @@
 A text is cut where no token can cross: before each word for vocabularies that drop white space (``lead=False``),
 before each run of blanks for byte-level ones, whose tokens may begin with a blank (``lead=True``).  The pieces of a
 block are hashed together, and only pieces that the worker has not met yet go through the library; ids come from a
-pool of at most ``POOL`` ids, begun anew when it is full.  A text with blanks outside ASCII, which may join with their
+pool of some ``POOL`` ids, begun anew when it is full.  A text with blanks outside ASCII, which may join with their
 neighbours in a byte-level vocabulary, goes through the library whole.
-
-``PrefixCounts`` holds the count at every prefix by dynamic programming: that of the last cut plus that of the started
-piece, whose own prefixes are counted once for each distinct piece.
 """
 
 from __future__ import annotations
@@ -21,7 +18,7 @@ from quern.llm.bytes import Block
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-POOL = 6_000_000
+POOL = 1_500_000
 MARK = "<|endoftext|>"
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
@@ -32,6 +29,8 @@ ODD_BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0              
 class Pieces:
     """Token ids of pieces of text, remembered by the hash of their bytes."""
 
+    MOST, AT_ONCE = POOL, 512
+
     def __init__(self, path: str, lead: bool):
         from tokenizers import Tokenizer
 
@@ -62,7 +61,7 @@ class Pieces:
         return np.delete(ids, at), sizes
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        parts = [self._many(texts[i : i + 512]) for i in range(0, len(texts), 512)]
+        parts = [self._many(texts[i : i + self.AT_ONCE]) for i in range(0, len(texts), self.AT_ONCE)]
         flat = np.concatenate([p[0] for p in parts])
         sizes = np.concatenate([p[1] for p in parts])
         total = len(flat)
@@ -83,7 +82,7 @@ class Pieces:
         starts, ends, bounds = pieces = block.lead_chunks() if self.lead else block.words()
         if not len(starts):
             return np.zeros(0, np.int64), pieces
-        if self.used > POOL:
+        if self.used > self.MOST:
             self._forget()
         keys, first, each = np.unique(block.hashes(starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -127,57 +126,7 @@ class Pieces:
         return flat, where
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def pieces(path: str, lead: bool) -> Pieces:
-    """The worker's memory of a vocabulary, kept between tasks."""
+    """The worker's memory of a vocabulary, kept between tasks; of one at a time."""
     return Pieces(path, lead)
-
-
-class PrefixCounts:
-    """Exact token counts of every prefix of the texts of a block, for a vocabulary that drops white space."""
-
-    def __init__(self, block: Block, encoder: Pieces):
-        slots, (self.starts, self.ends, self.bounds) = encoder.slots(block)
-        self.block, self.encoder = block, encoder
-        self.done = np.append(0, np.cumsum(encoder.size[slots]))
-
-    def totals(self) -> np.ndarray:
-        at = self.done[self.bounds]
-        return np.diff(at)
-
-    def _table(self, piece: int, known: dict[bytes, np.ndarray]) -> np.ndarray:
-        """Counts of the prefixes of one piece, of 0, 1, ... code points."""
-        raw = self.block.data[self.starts[piece] : self.ends[piece]].tobytes()
-        if raw not in known:
-            text = raw.decode("utf-8", "replace")
-            known[raw] = np.array([0, *map(len, self.encoder.ids([text[: n + 1] for n in range(len(text))]))])
-        return known[raw]
-
-    def every(self, row: int, known: dict[bytes, np.ndarray]) -> np.ndarray:
-        """Counts of all prefixes of a row's text, of 0, 1, ... code points."""
-        a, b = self.block.bounds[row], self.block.bounds[row + 1]
-        begins = (self.block.data[a:b] & 0xC0) != 0x80
-        counts = np.zeros(int(begins.sum()) + 1, np.int64)
-        place = np.append(0, np.cumsum(begins))
-        first = self.done[self.bounds[row]]
-        at = 0
-        for p in range(self.bounds[row], self.bounds[row + 1]):
-            i, j = place[self.starts[p] - a], place[self.ends[p] - a]
-            counts[at : i + 1] = self.done[p] - first
-            counts[i : j + 1] = self.done[p] - first + self._table(p, known)
-            at = j
-        counts[at:] = self.done[self.bounds[row + 1]] - first
-        return counts
-
-    def longest(self, row: int, limit: int, known: dict[bytes, np.ndarray]) -> int:
-        """Code points of the longest prefix of at most ``limit`` tokens."""
-        a, b = self.bounds[row], self.bounds[row + 1]
-        text = self.block.data[self.block.bounds[row] : self.block.bounds[row + 1]]
-        points = lambda end: int(((text[:end] & 0xC0) != 0x80).sum())
-        before = self.done[a : b + 1] - self.done[a]
-        if before[-1] <= limit:
-            return points(len(text))
-        p = int(np.searchsorted(before, limit, "right")) - 1  # the last piece with no more than the limit before it
-        start = self.starts[a + p] - self.block.bounds[row]
-        fits = np.flatnonzero(before[p] + self._table(a + p, known) <= limit)
-        return points(start) + int(fits[-1])

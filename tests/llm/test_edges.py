@@ -31,7 +31,8 @@ def tables(spark):
         "full": full,
         "none": full.limit(0),
         "odd": full.union(full.where("doc_id = 4")).union(full.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))),
-        "clash": full.withColumns({c: F.lit(1) for c in ("kept", "z", "rule", "n_words", "topic", "selected", "spans", "n_tokens")}),
+        "clash": full.withColumns({c: F.lit(1) for c in ("kept", "rule", "n_words", "topic", "selected", "n_tokens", "prompt", "steps", "width", "__v")})
+        .withColumns({"z": F.lit("z"), "spans": F.array(F.lit(1)), "sig": F.lit(2.5), "score": F.lit(None).cast("boolean")}),
     }
 
 
@@ -47,13 +48,19 @@ def operators(spark, labels):
         return token_files.read_documents(spark, at)
 
     words = queries.tokenizer("word_bpe_49k.json")
+
+    def counts(d):
+        at = common.new_folder(spark, "edge-counts")
+        token_counts.write(d, at, words)
+        return token_counts.read(spark, at)
+
     return {
         "fingerprints": fingerprints.edited_documents,
         "quality": lambda d: quality_rules.judged(d, labels),
         "substrings": substrings.cut,
         "neardup": neardup.near_duplicates,
         "mixing": mixing.mixed,
-        "counts": lambda d: token_counts.counted(d, words),
+        "counts": counts,
         "files": files,
         "packing": lambda d: packing.packed(d, words).where("start = 0"),
         "toxicity": lambda d: toxicity.scored(d, toxicity.train(*toxicity.sample(d, labels))),

@@ -58,12 +58,25 @@ def test_every_given_target_counts(docs):
     assert all(fit[s] > 0 for s in given if s != "absent")
 
 
+def test_topics_part_vocabularies(spark):
+    """Texts of three word lists fall into topics of their own, whatever words they draw."""
+    lists = [[f"{stem}{i:03d}" for i in range(40)] for stem in ("harbour", "kitchen", "theorem")]
+    rows = [(n, " ".join(lists[n % 3][(n * 7 + 3 * k) % 40] for k in range(30)), "aa", "s", 0) for n in range(90)]
+    rows += [(90, None, "aa", "s", 0), (91, "a an of", "aa", "s", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.topic for r in mixing.measured(d).collect()}
+    assert got[90] == got[91] == "none" and len(got) == 92
+    found = [{got[n] for n in range(k, 90, 3)} for k in range(3)]
+    assert not (found[0] & found[1] or found[0] & found[2] or found[1] & found[2])
+
+
 def test_joins_fit_as_the_driver_does(docs, monkeypatch):
     given = {"source": {f"s{i:02d}": float(i + 1) for i in range(35)} | {"other": 9.0}, "lang": {"aa": 0.7, "bb": 0.3}}
+    measured = mixing.measured(docs, keep_text=False)
     for targets in (None, given):
         fits = []
         for cells in (50_000, 0):
             monkeypatch.setattr(mixing, "CELLS", cells)
-            fits.append({r[:3]: r.p for r in mixing.fitted(docs, targets, sweeps=3)[0].collect()})
+            fits.append({r[:3]: r.p for r in mixing.fitted(measured, targets, sweeps=3)[0].collect()})
         assert fits[0].keys() == fits[1].keys()
         assert all(abs(p - fits[1][c]) < 1e-9 for c, p in fits[0].items())
