@@ -16,10 +16,20 @@ POS_ALIASES = {
 }
 # The words that show a topic.
 TOPICS = {
-    "greetings": ("mhoro", "kwaziwai", "greet", "welcome", "say hello", "hello", "greeting"),
-    "family": tuple("amai baba hanzvadzi child son daughter mother father brother sister aunt uncle family".split()),
-    "environment": tuple("musha gomo rwizi mhuka sango river mountain animal forest tree rain sun weather nature".split()),
-    "time": tuple("nguva zuva mwaka nhasi mangwana time hour day year yesterday tomorrow month".split()),
+    "greetings": (
+        "mhoro", "kwaziwai", "greet", "welcome", "say hello", "hello", "greeting",
+    ),
+    "family": (
+        "amai", "baba", "hanzvadzi", "child", "son", "daughter", "mother", "father", "brother", "sister", "aunt",
+        "uncle", "family",
+    ),
+    "environment": (
+        "musha", "gomo", "rwizi", "mhuka", "sango", "river", "mountain", "animal", "forest", "tree", "rain", "sun",
+        "weather", "nature",
+    ),
+    "time": (
+        "nguva", "zuva", "mwaka", "nhasi", "mangwana", "time", "hour", "day", "year", "yesterday", "tomorrow", "month",
+    ),
 }
 DIALECTS = "Ko|K|M|Z"
 

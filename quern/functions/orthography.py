@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 # The graphemes of the inventory, in three parts as they were added.
 GRAPHEMES = (
-    *"dzv nzv tsv bv bw dy dz gw hw kw mb mh mw mv nd ng nh nj ny pf pw sh sv sw ts tw vh zh zv ch".split(),
-    *"a e i o u b d f g h j k m n p r s t v w y z".split(),
-    *"ngw ndw nkw nzw dzw ndv zvw tshw tsh mbw vw ty ph nk".split(),
-    *"bh dh dw rw zhw nhw chw dyw".split(),
+    "dzv", "nzv", "tsv", "bv", "bw", "dy", "dz", "gw", "hw", "kw", "mb", "mh", "mw", "mv", "nd", "ng", "nh", "nj",
+    "ny", "pf", "pw", "sh", "sv", "sw", "ts", "tw", "vh", "zh", "zv", "ch", "a", "e", "i", "o", "u", "b", "d", "f",
+    "g", "h", "j", "k", "m", "n", "p", "r", "s", "t", "v", "w", "y", "z", "ngw", "ndw", "nkw", "nzw", "dzw", "ndv",
+    "zvw", "tshw", "tsh", "mbw", "vw", "ty", "ph", "nk", "bh", "dh", "dw", "rw", "zhw", "nhw", "chw", "dyw",
 )
 # Cyrillic letters and the Latin letters they look like.
 CYRILLIC = "аеорсухіАВЕКМНОРСТУХкмнт"
@@ -38,6 +38,11 @@ def graphemes(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(GRAPHEME), F.lit(1))
 
 
+def inventory_regex(graphemes: tuple[str, ...]) -> str:
+    """One group that takes the longest grapheme of an inventory, or else any character."""
+    return "(?s)(" + "|".join([*map(re.escape, sorted(graphemes, key=lambda g: (-len(g), g))), "."]) + ")"
+
+
 def syllables(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(SYLLABLE), F.lit(1))
 

@@ -19,7 +19,10 @@ class Query:
 
 
 _FOUND: dict[str, Query] = {}
-_MODULES: tuple[str, ...] = ("quern.plans.text_queries", "quern.plans.relational_queries", "quern.plans.lexicon_queries", "quern.plans.verb_queries")
+_MODULES: tuple[str, ...] = tuple(
+    f"quern.plans.{m}"
+    for m in ("text_queries", "relational_queries", "lexicon_queries", "verb_queries", "entry_queries", "filter_queries", "summary_queries", "scan_queries", "analysis_queries")
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:

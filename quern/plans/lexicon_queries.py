@@ -128,7 +128,7 @@ def jn14_prefix_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(begins).select("p_partkey", "p_name")
 
 
-ASKED = "(1, 'green steel'), (2, 'gren stel'), (3, 'steel'), (4, 'zzz'), (5, ''), (6, 'blue  copper')"
+ASKED = "(1, 'red ring'), (2, 'smal wigdet'), (3, 'bolt'), (4, 'zzz'), (5, ''), (6, 'blue  Bolt'), (7, 'old'), (8, 'lage gear')"
 _TRIGRAMS = "list_distinct(list_transform(generate_series(1, CAST(length({x}) + 2 AS BIGINT)), lambda i: substring('  ' || {x} || '  ', i, 3)))"
 
 
@@ -208,26 +208,30 @@ def c04_corpus_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("status", status)
 
 
+TOLD = ("a greeting for the father", "Mountain or river", "the hour of the day", "a sister-in-law", "sunset", "mother tongue; tomorrow", "nothing of it", "RAIN on a tree")
+_TOLD_SQL = f"SELECT p_partkey, p_name || ': ' || [{', '.join(repr(t) for t in TOLD)}][CAST(p_partkey % {len(TOLD)} AS INTEGER) + 1] AS text FROM part"
 _TAGS_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{labels.topic_regex(w)}') THEN '{t}' END" for t, w in labels.TOPICS.items())
 
 
 @query(
     "c08_keyword_tags",
-    f"""WITH t AS (SELECT doc_id, list_filter([{_TAGS_SQL}], lambda x: x IS NOT NULL) AS c FROM documents)
-    SELECT doc_id, array_to_string(c, ',') AS contexts, CASE WHEN list_has_any(c, ['greetings', 'family', 'time']) THEN 'forms_1_2' ELSE 'general_secondary' END AS stage,
+    f"""WITH t AS (SELECT p_partkey, list_filter([{_TAGS_SQL}], lambda x: x IS NOT NULL) AS c FROM ({_TOLD_SQL}))
+    SELECT p_partkey, array_to_string(c, ',') AS contexts, CASE WHEN list_has_any(c, ['greetings', 'family', 'time']) THEN 'forms_1_2' ELSE 'general_secondary' END AS stage,
     CASE WHEN list_has_any(c, ['greetings', 'family']) THEN 'vocabulary,oral_communication' ELSE 'vocabulary' END AS domains FROM t WHERE len(c) > 0""",
 )
 def c08_keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", labels.topics(F.col("text")).alias("c")).where(F.size("c") > 0)
+    """Topics of entries by the keywords in headword and definition, with what follows from them."""
+    told = F.element_at(F.array(*map(F.lit, TOLD)), (F.col("p_partkey") % len(TOLD) + 1).cast("int"))
+    d = table(spark, sf_dir, "part").select("p_partkey", labels.topics(F.concat("p_name", F.lit(": "), told)).alias("c")).where(F.size("c") > 0)
     some = lambda *names: F.arrays_overlap("c", F.array(*map(F.lit, names)))
     domains = F.array_union(F.array(F.lit("vocabulary")), F.when(some("greetings", "family"), F.array(F.lit("oral_communication"))).otherwise(F.array().cast("array<string>")))
     return d.select(
-        "doc_id", F.array_join("c", ",").alias("contexts"),
+        "p_partkey", F.array_join("c", ",").alias("contexts"),
         F.when(some("greetings", "family", "time"), "forms_1_2").otherwise("general_secondary").alias("stage"), F.array_join(domains, ",").alias("domains"),
     )
 
 
-CONFLICTS = "('names', 'word', 'steel'), ('brands', 'brand', 'Brand#1'), ('types', 'type', 'PROMO')"
+CONFLICTS = "('names', 'word', 'ring'), ('brands', 'brand', 'Brand#1'), ('types', 'type', 'PROMO')"
 
 
 @query(

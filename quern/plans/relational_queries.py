@@ -164,8 +164,8 @@ def m02_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumns({"tier": learning.tier(F.col("score")), "level": learning.level(F.col("lesson"))})
 
 
-@query("m05_bucket", "SELECT CAST(floor(l_quantity / 10) * 10 AS BIGINT) AS bucket, count(*) AS lines FROM lineitem GROUP BY 1")
-def m05_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("ag13_histogram", "SELECT CAST(floor(l_quantity / 10) * 10 AS BIGINT) AS bucket, count(*) AS lines FROM lineitem GROUP BY 1")
+def ag13_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = (F.floor(F.col("l_quantity") / 10) * 10).cast("long")
     return table(spark, sf_dir, "lineitem").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("lines"))
 
@@ -208,10 +208,10 @@ def wn02_resequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "wn04_gaps",
     """SELECT k + 1 AS first_missing, after - 1 AS last_missing, after - k - 1 AS missing
-    FROM (SELECT k, lead(k) OVER (ORDER BY k) AS after FROM (SELECT DISTINCT o_custkey AS k FROM orders)) WHERE after > k + 1""",
+    FROM (SELECT k, lead(k) OVER (ORDER BY k) AS after FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')) WHERE after > k + 1""",
 )
 def wn04_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.gaps(table(spark, sf_dir, "orders"), "o_custkey")
+    return ordered.gaps(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "o_custkey")
 
 
 @query(
@@ -248,9 +248,9 @@ def jn10_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_semi")
 
 
-@query("jn11_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("jn11_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def jn11_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
@@ -318,11 +318,11 @@ def flt09_wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "srt03_budget",
-    """WITH a AS (SELECT p_partkey AS id, p_name AS name, 0 AS tier FROM part WHERE p_name LIKE 'g%' ORDER BY name, id LIMIT 60), b AS (SELECT s_suppkey AS id, s_name AS name, 1 AS tier FROM supplier ORDER BY name, id LIMIT 60)
+    """WITH a AS (SELECT p_partkey AS id, p_name AS name, 0 AS tier FROM part WHERE p_name LIKE 'r%' ORDER BY name, id LIMIT 60), b AS (SELECT s_suppkey AS id, s_name AS name, 1 AS tier FROM supplier ORDER BY name, id LIMIT 60)
     SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY tier, name, id LIMIT 60""",
 )
 def srt03_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "part").where("p_name LIKE 'g%'").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    a = table(spark, sf_dir, "part").where("p_name LIKE 'r%'").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return ordered.budgeted([a, b], ["name", "id"], 60)
 

@@ -62,7 +62,7 @@ def s04_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRIGRAMS = "list_distinct(list_transform(generate_series(1, CAST(length({x}) + 2 AS BIGINT)), lambda i: substring('  ' || {x} || '  ', i, 3)))"
-NEEDLE = "green steel"
+NEEDLE = "red rings"
 
 
 @query(

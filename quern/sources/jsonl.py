@@ -1,17 +1,23 @@
-"""JSON lines: folders of one object a line."""
+"""JSON lines and plain lines: strict and lenient reading, versioned documents, upserts of tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Sequences of letters that stand for another after a wrong decoding, and signs that look like a hyphen.  Fixed values.
+MOJIBAKE = {"â€™": "’", "â€œ": "“", "â€": "”", "Ã©": "é"}
+HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2212"
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -20,5 +26,40 @@ def write(df: DataFrame, at: str) -> None:
 
 
 def read(spark: SparkSession, at: str, schema: StructType | str) -> DataFrame:
-    """Rows of the schema; lines that do not fit it are errors."""
+    """Rows of the schema; a line that does not fit it ends the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(at)
+
+
+def strict(spark: SparkSession, at: str, schema: str) -> DataFrame:
+    """``read``, refusing a folder without rows."""
+    rows = read(spark, at, schema)
+    if rows.isEmpty():
+        raise ValueError(f"no lines in {at}")
+    return rows
+
+
+def lenient(spark: SparkSession, at: str, schema: str) -> DataFrame:
+    """Rows of the schema, with lines that do not fit it in the column ``bad``."""
+    return spark.read.schema(f"{schema}, bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(at)
+
+
+def numbered_lines(text, name: str = "line"):
+    """Array of (number, line) of a text, from 1."""
+    return F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("number"), x.alias(name)))
+
+
+def cleaned_line(x):
+    """A line with wrong decodings put right, soft hyphens gone, hyphens alike and blanks collapsed."""
+    for wrong, right in MOJIBAKE.items():
+        x = F.replace(x, F.lit(wrong), F.lit(right))
+    x = F.translate(F.replace(x, F.lit("\u00ad"), F.lit("")), HYPHENS, "-" * len(HYPHENS))
+    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with the rows of ``new`` laid over it by a natural key: replaced where known, added where not."""
+    columns = [c for c in old.columns if c != key]
+    o = old.select(key, *[F.col(c).alias(f"__o_{c}") for c in columns])
+    n = new.select(key, F.lit(True).alias("__new"), *[F.col(c).alias(f"__n_{c}") for c in columns])
+    pick = [F.when(F.col("__new"), F.col(f"__n_{c}")).otherwise(F.col(f"__o_{c}")).alias(c) for c in columns]
+    return o.join(n, key, "full").select(key, *pick)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
@@ -11,3 +11,13 @@ def run(spark: SparkSession, landing: str, schema: StructType, key: str, table:
     rows: DataFrame = spark.readStream.schema(schema).json(landing).dropDuplicates([key])
     done = rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
     done.trigger(availableNow=True).start().awaitTermination()
+
+
+def tagged(spark: SparkSession, landing: str, schema: StructType | str, published: str, tag: Column, table: str, state: str) -> None:
+    """Adds ``tag`` to the published rows of every batch that lands; a batch run again replaces its own rows."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.where(published).withColumn("tag", tag).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    rows = spark.readStream.schema(schema).json(landing)
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

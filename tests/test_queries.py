@@ -10,7 +10,7 @@ import pytest
 from quern.plans import registry
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations pages".split()
 
 
 @pytest.fixture(scope="module")
