@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,11 @@ HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2212"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; set here only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not at:  # a session of one machine, as in tests
+        at = tempfile.mkdtemp(prefix="quern-")
+        spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
