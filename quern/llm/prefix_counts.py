@@ -29,6 +29,7 @@ SHORT_TWO, SHORT_THREE = ("s", "t", "m", "d"), ("re", "ve", "ll")
 RUN = regex.compile(rf"('(?:s|t|re|ve|m|ll|d))|\p{{L}}+|\p{{N}}|[^{''.join(sorted(SPACES))}\p{{L}}\p{{N}}]+")
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 WORD_END = "</w>"
+USUAL = 4
 
 BLANK, CLOSED, LETTERS, OTHERS, NUMBER = range(5)
 
@@ -74,6 +75,8 @@ class _Merges:
         self.inside = {t: t for t in model["vocab"] if not t.endswith(WORD_END)}
         self.at_end = {t[: -len(WORD_END)] for t in model["vocab"] if t.endswith(WORD_END)}
         self.longest = max(map(len, (*self.inside, *self.at_end)))
+        # just one token agrees, so they may be tried in any order: the usual lengths first
+        self.orders = [sorted(range(1, n + 1), key=lambda x: (abs(x - USUAL), x)) for n in range(self.longest + 1)]
         self.agreed: dict[tuple[str, str], bool] = {}
         self.agreed_at_end: dict[tuple[str, str], bool] = {}
 
@@ -91,10 +94,10 @@ class _Merges:
         ``last`` and ``count`` are the last token and the tokens of the open run after each byte so far; both grow.
         """
         inside, at_end, agreed, agreed_at_end, out = self.inside, self.at_end, self.agreed, self.agreed_at_end, []
-        at = len(last)
+        at, orders = len(last), self.orders
         for i in range(len(run) - new + 1, len(run) + 1):
             token, ended = None, 0
-            for n in range(min(at - first + 1, self.longest, i), 0, -1):
+            for n in orders[min(at - first + 1, self.longest, i)]:
                 t = run[i - n : i]
                 if token is None and t in inside:
                     if at - n < first:
@@ -184,11 +187,13 @@ class PrefixPieces(Pieces):
     """As ``Pieces``, but what is remembered of a piece are the counts after each of its code points."""
 
     MOST, AT_ONCE = 8_000_000, 1 << 30
+    RUNS, SHORT = 200_000, 24
 
     def __init__(self, path: str):
         super().__init__(path, lead=False)
         self.merges, self.letters = _Merges(path), byte_letters()
         self.before, self.last, self.count, self.ended = "", [], array("q"), []
+        self.runs: dict[str, list[int]] = {}
 
     def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found: list[list[int]] = [[]] * len(texts)
@@ -243,24 +248,34 @@ class PrefixPieces(Pieces):
         return out
 
     def _run(self, run: str) -> list[int]:
-        """Counts after each character of a run; what it shares with the run before it is not read again."""
+        """Counts after each character of a run; what it shares with the run of its kind before it is not read again."""
+        found = self.runs.get(run)
+        if found is not None:
+            return found
         if run.isascii() and run.isprintable():
-            letters = run
+            letters = raw = run
         else:
             raw = run.encode("utf-8", "replace")
             letters = "".join([self.letters[b] for b in raw])
-        same = 0
-        for a, b in zip(letters, self.before, strict=False):
-            if a != b:
-                break
-            same += 1
-        del self.last[same:], self.count[same:], self.ended[same:]
-        self.ended += self.merges.grow(letters, len(letters) - same, 0, self.last, self.count)
-        self.before = letters
-        if letters is run:
-            return self.ended
-        ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-        return [self.ended[i - 1] for i in ends]
+        if run[0].isalpha():
+            same = 0
+            for a, b in zip(letters, self.before, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del self.last[same:], self.count[same:], self.ended[same:]
+            self.ended += self.merges.grow(letters, len(letters) - same, 0, self.last, self.count)
+            self.before, found = letters, self.ended.copy()
+        else:
+            found = self.merges.grow(letters, len(letters), 0, [], array("q"))
+        if len(raw) > len(run):
+            ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+            found = [found[i - 1] for i in ends]
+        if len(run) <= self.SHORT:
+            if len(self.runs) >= self.RUNS:
+                self.runs.clear()
+            self.runs[run] = found
+        return found
 
     def _uncomposed(self, text: str) -> list[int]:
         scan, seconds = Scan(self.merges, self.letters), second_parts()
