@@ -213,7 +213,8 @@ def near_duplicates(documents: DataFrame, k: int = K, percent: int = PERCENT) ->
     met = rows.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("times"))
     met = common.written(met, "met")
     ends = met.select(F.explode(F.array("a", "b")).alias("doc_id")).union(rows.select(F.col("b").alias("doc_id")))
-    texts = compressed(documents).join(ends.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = compressed(documents).join(ends.distinct(), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("z").alias("z"))  # of rows that share a doc_id always the same one
     texts = common.written(texts, "texts")
 
     most = met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
