@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.llm.bytes import blocks
 from quern.llm.tokens import pieces
 
-BLOCK_IDS, PROMPT_EVERY = 1_000_000, 8
+BLOCK_IDS, PROMPT_EVERY = 400_000, 8
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,9 @@ class Piece:
     def loss(self) -> int:
         return max(0, self.start + self.length - max(self.start, self.loss_from))
 
-    def within(self, loss: float) -> int:
+    def within(self, loss: int) -> int:
         """The most of its first tokens that bear no more than ``loss``."""
-        return min(self.length, max(0, self.loss_from - self.start) + int(loss))
+        return min(self.length, max(0, self.loss_from - self.start) + loss)
 
     def cut(self, length: int) -> tuple[Piece, Piece]:
         return (
@@ -71,49 +71,66 @@ class Waiting:
 
     def __init__(self, limits: Limits):
         self.limits = limits
-        self.kinds: dict[tuple[int, int], int] = {}
-        self.sizes = np.zeros((0, 3))
-        self.there = np.zeros(0, bool)
-        self.lists: list[list[Piece]] = []
         self.tokens = 0
+        self._begin([])
+
+    def _begin(self, lists: list[list[Piece]]) -> None:
+        """Only kinds of which there are pieces stay."""
+        room = 2 * len(lists) + 64
+        self.length, self.loss = np.zeros(room, np.float32), np.zeros(room, np.float32)
+        self.there = np.zeros(room, bool)
+        self.lists = lists
+        self.kinds: dict[tuple[int, int], int] = {}
+        for at, pieces_ in enumerate(lists):
+            self._enter(at, pieces_[0].length, pieces_[0].loss)
+        self.live = len(lists)
+
+    def _enter(self, at: int, length: int, loss: int) -> None:
+        self.kinds[length, loss] = at
+        self.length[at], self.loss[at], self.there[at] = length, loss, True
 
     def add(self, piece: Piece) -> None:
         key = (piece.length, piece.loss)
         at = self.kinds.get(key)
         if at is None:
-            at = self.kinds[key] = len(self.lists)
+            if len(self.lists) == len(self.length):
+                self._begin([x for x in self.lists if x])
+            at = len(self.lists)
             self.lists.append([])
-            if at == len(self.sizes):
-                more = max(64, at)
-                self.sizes = np.vstack([self.sizes, np.zeros((more, 3))])
-                self.there = np.append(self.there, np.zeros(more, bool))
-            self.sizes[at] = piece.length, 1, piece.loss
+            self._enter(at, *key)
+        self.live += not self.lists[at]
         self.lists[at].append(piece)
         self.there[at] = True
         self.tokens += piece.length
 
     def take(self, at: int) -> Piece:
         piece = self.lists[at].pop()
-        self.there[at] = bool(self.lists[at])
+        if not self.lists[at]:
+            self.there[at] = False
+            self.live -= 1
+            if 4 * self.live + 64 < len(self.lists):
+                self._begin([x for x in self.lists if x])
         self.tokens -= piece.length
         return piece
 
-    def best(self, left: np.ndarray) -> int | None:
+    def best(self, left: list[int]) -> int | None:
         """The kind that fits and has the greatest dot product with what is left."""
-        weights = left / np.array([self.limits.tokens, self.limits.segments, self.limits.loss]) ** 2
-        fits = self.there & (self.sizes <= left).all(1)
-        if not fits.any():
-            return None
-        return int(np.argmax(np.where(fits, self.sizes @ weights, -1.0)))
-
-    def filling(self, left: np.ndarray) -> tuple[int, int] | None:
+        n = len(self.lists)
+        length, loss = self.length[:n], self.loss[:n]
+        score = length * (left[0] / self.limits.tokens**2) + loss * (left[2] / self.limits.loss**2)
+        score[~(self.there[:n] & (length <= left[0]) & (loss <= left[2]))] = -1.0  # a segment more is the same for all
+        at = int(score.argmax()) if n else -1
+        return at if at >= 0 and score[at] >= 0 else None
+
+    def filling(self, left: list[int]) -> tuple[int, int] | None:
         """The kind whose head takes up most of what is left (of equals the longest), and how many tokens it takes."""
-        usable = np.minimum(np.minimum(self.sizes[:, 0], left[0]), self.sizes[:, 0] - self.sizes[:, 2] + left[2])
-        usable = np.where(self.there, usable, 0)
+        n = len(self.lists)
+        length = self.length[:n]
+        usable = np.minimum(np.minimum(length, left[0]), length - self.loss[:n] + left[2]) * self.there[:n]
         most = usable.max(initial=0)
         if most <= 0:
             return None
-        return int(np.argmax(np.where(usable == most, self.sizes[:, 0], -1))), int(most)
+        return int(np.where(usable == most, length, -1).argmax()), int(most)
 
 
 def pack(docs: list[tuple[int, int]], limits: Limits = Limits(), padded: bool = False) -> list[list[Piece]]:
@@ -133,7 +150,7 @@ def pack(docs: list[tuple[int, int]], limits: Limits = Limits(), padded: bool =
                 waiting.add(piece)
             start += piece.length
     while waiting.tokens:
-        left, sequence = np.array([limits.tokens, limits.segments, limits.loss], float), []
+        left, sequence = [limits.tokens, limits.segments, limits.loss], []
         while left[0] and left[1]:
             at = waiting.best(left) if left[1] > 1 else None  # the last segment must fill what is left
             if at is not None:
@@ -147,8 +164,8 @@ def pack(docs: list[tuple[int, int]], limits: Limits = Limits(), padded: bool =
                     piece, rest = piece.cut(found[1])
                     waiting.add(rest)
             sequence.append(piece)
-            left -= (piece.length, 1, piece.loss)
-        held = limits.tokens - int(left[0])
+            left = [left[0] - piece.length, left[1] - 1, left[2] - piece.loss]
+        held = limits.tokens - left[0]
         over = held - (1 << held.bit_length() - 1) if held < limits.tokens and not padded else 0
         while over:  # not full: only a power of two needs no padding
             piece = sequence.pop()
