@@ -18,7 +18,7 @@ from quern.llm.bytes import Block
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-POOL = 3_000_000
+POOL = 6_000_000
 MARK = "<|endoftext|>"
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
