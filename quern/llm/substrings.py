@@ -1,12 +1,20 @@
 """Removal of long passages that an earlier document has, over a de Bruijn graph of words.
 
-Every run of ``WINDOW`` words is an edge between the runs of ``WINDOW - 1`` words that begin and end it.  Only edges of
-two or more documents matter, and they are found in two steps.  First each window's minimizer (its run of ``SEED``
-words of least hash) is counted; a window can only recur where its minimizer does, and there are five times fewer of
-those.  Then the windows over recurring minimizers are met by hash, and each gets the coordinates of its first
-occurrence: document and place.  Repeated edges that follow each other both in the document and at their source are
-joined into one path; a path ends where the graph branches, which shows as a jump of the source.  Each path is then
-verified: the words at its source coordinates must be the words of the document.
+Every run of ``WINDOW`` words is an edge between two nodes, the runs of ``WINDOW - 1`` words that begin and end it.  Only
+edges of two or more documents matter.  They are found in two steps: first each window's minimizer (its run of ``SEED``
+words of least hash) is counted, as a window can only recur where its minimizer does; then the windows over recurring
+minimizers meet as pairs of nodes, and each edge gets the coordinates of its first occurrence: document and place.
+
+The graph of the repeated edges is then compacted (``compacted``).  A node that one edge enters and one edge leaves, of
+which the second follows the first at the source, does not branch: the join of the two edges makes one path.  Paths grow
+inside blocks of ``SPAN`` places of a source first; what goes on across blocks is joined by pointer jumping.  Each
+document's repeated runs are cut where paths end (``on_paths``), and every piece is verified: the words at its source
+coordinates must be the words of the document.
+
+A minimizer of many documents (a licence line) is dealt to one more partition for every ``HOT`` of them; its edges find
+their least occurrence by partial aggregation and get it by a join.  A source's places come in blocks, so nothing grows
+with the number of documents that have it.  Whole copies of an earlier document are a single path each, met by digest
+and left out of the graph.
 
 Edge cases: a null text counts as empty; a text of fewer than ``WINDOW`` words keeps all of them; rows that share a
 doc_id are judged against smaller ids only and never against each other; a row with a null doc_id is kept whole and is
@@ -30,7 +38,9 @@ from quern.llm import common
 from quern.llm.bytes import blocks, inside, mix, row_of, window_hashes
 
 WINDOW, SEED = 13, 5
-_SEED_FACTOR = 0x9FB21C651E98DF25
+#: Documents that share a minimizer in one partition, about; places of a source that one block of paths covers.
+HOT, SPAN = 1000, 256
+_SEED_FACTOR, _NODE_FACTOR = 0x9FB21C651E98DF25, 0xA24BAED4963EE407
 
 
 def minimizers(words: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +140,7 @@ def _texts(raw: list) -> list[bytes]:
 
 
 def edges_of(seeded: DataFrame) -> DataFrame:
-    """Windows over recurring minimizers: minimizer, hash, document and place of their first occurrence there."""
+    """Windows over recurring minimizers: minimizer, salt (0: a rare one), both nodes, document, place of the first there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,25 +152,32 @@ def edges_of(seeded: DataFrame) -> DataFrame:
                     best, seeds = minimizers(words)
                     ok = np.flatnonzero(inside(bounds, WINDOW))
                     rows = row_of(bounds)[ok]
-                    # which of a row's minimizers recur: its list, as hashes of (row, minimizer)
-                    lists = part.column(2).slice(block.first, block.rows).to_pylist()
-                    recurs = [_pair(np.full(len(x), r), np.array(x, np.int64).view(np.uint64)) for r, x in enumerate(lists)]
-                    hit = np.isin(_pair(rows, seeds[best[ok]]), np.concatenate(recurs))
-                    ok, rows = ok[hit], rows[hit]
-                    values = window_hashes(words, WINDOW)[ok]
-                    keep = _unique_by_row(rows, values)
-                    ok, rows, values = ok[keep], rows[keep], values[keep]
+                    # which of a row's minimizers recur: its list, as hashes of (row, minimizer) with their salts
+                    lists = part.column(2).slice(block.first, block.rows)
+                    flat, of = lists.flatten(), row_of(np.cumsum([0, *lists.value_lengths().to_pylist()]))
+                    known = _pair(of, flat.field(0).to_numpy().view(np.uint64))
+                    order = np.argsort(known)
+                    known, salts = known[order], flat.field(1).to_numpy()[order]
+                    here = _pair(rows, seeds[best[ok]])
+                    found = np.minimum(np.searchsorted(known, here), len(known) - 1)
+                    hit = known[found] == here
+                    ok, rows, salts = ok[hit], rows[hit], salts[found[hit]]
+                    keep = _unique_by_row(rows, window_hashes(words, WINDOW)[ok])
+                    ok, rows, salts = ok[keep], rows[keep], salts[keep]
+                    nodes = window_hashes(words, WINDOW - 1, _NODE_FACTOR).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(seeds[best[ok]].view(np.int64)),
-                            pa.array(values.view(np.int64)),
+                            pa.array(salts),
+                            pa.array(nodes[ok]),
+                            pa.array(nodes[ok + 1]),
                             part.column(0).slice(block.first, block.rows).take(pa.array(rows)),
                             pa.array((ok - bounds[rows]).astype(np.int32)),
                         ],
-                        ["seed", "edge", "doc_id", "place"],
+                        ["seed", "salt", "a", "b", "doc_id", "place"],
                     )
 
-    return seeded.select("doc_id", "z", "seeds").mapInArrow(work, "seed long, edge long, doc_id long, place int")
+    return seeded.select("doc_id", "z", "seeds").mapInArrow(work, "seed long, salt int, a long, b long, doc_id long, place int")
 
 
 def _pair(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -202,54 +219,142 @@ def digests_of(located: DataFrame, at: str) -> DataFrame:
     return located.select("z", "paths").mapInArrow(work, _PATHS + ", digest binary")
 
 
-def _joined(pieces: DataFrame, by: Window, *keys: str) -> DataFrame:
+def _joined(pieces: DataFrame, by: Window, *keys: str, same: tuple[str, ...] = ("source",)) -> DataFrame:
     """Pieces (place, edges, source, source_place) that continue each other here and at the source, made one."""
-    near = (
-        (F.lag(F.col("place") + F.col("edges")).over(by) == F.col("place"))
-        & (F.lag("source").over(by) == F.col("source"))
-        & (F.lag(F.col("source_place") + F.col("edges")).over(by) == F.col("source_place"))
+    near = (F.lag(F.col("place") + F.col("edges")).over(by) == F.col("place")) & (
+        F.lag(F.col("source_place") + F.col("edges")).over(by) == F.col("source_place")
     )
+    for c in same:
+        near = near & (F.lag(c).over(by) == F.col(c))
     d = pieces.withColumn("opens", F.when(near, 0).otherwise(1))
-    d = d.withColumn("path", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "path").agg(
+    d = d.withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "run").agg(
         F.min("place").alias("place"),
         F.sum("edges").alias("edges"),
         F.first("source").alias("source"),
         F.min("source_place").alias("source_place"),
-    )
+    ).drop("run")
 
 
-def repeated_paths(documents: DataFrame, texts: DataFrame) -> DataFrame:
-    """Paths that an earlier document has: doc_id, start, words, source, source_start; not yet verified."""
-    copies = common.written(copies_of(documents), "copies")
-    met = Window.partitionBy("seed")
+def recurring_seeds(documents: DataFrame) -> DataFrame:
+    """doc_id and its minimizers that other documents have, too, each with the salt of its share of them."""
     seeds = seeds_of(documents)
-    seeds = seeds.select("doc_id", "seed", F.min("doc_id").over(met).alias("low"), F.max("doc_id").over(met).alias("high"))
-    seeds = seeds.where("low <> high").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    seeds = seeds.join(copies.select("doc_id"), "doc_id", "left_anti")
-    edges = edges_of(texts.join(seeds, "doc_id"))
-
-    # all windows over one minimizer meet in one partition, and neighbours mostly share it: paths begin to grow there
-    edges = edges.repartition("seed")
-    order = Window.partitionBy("seed", "edge").orderBy("doc_id", "place")
-    edges = edges.select(
-        "seed",
+    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    met = common.written(met.where("low < high").select("seed", F.floor(F.col("n") / HOT).cast("int").alias("parts")), "seeds")
+    salt = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("doc_id"), F.col("parts") + 1) + 1).otherwise(0).cast("int")
+    d = seeds.join(met, "seed").select("doc_id", F.struct("seed", salt.alias("salt")).alias("found"))
+    return d.groupBy("doc_id").agg(F.collect_set("found").alias("seeds"))
+
+
+def _first(by: Window) -> list:
+    """Document and place of the least occurrence of an edge, and its last document."""
+    return [
+        F.min("doc_id").over(by).alias("source"),
+        F.min_by("place", "doc_id").over(by).alias("source_place"),
+        F.max("doc_id").over(by).alias("last"),
+    ]
+
+
+def repeated_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph's edges (nodes a, b; source, source_place), and the runs of edges that documents have of earlier ones.
+
+    Both come from one reading of the windows and are written as one table.
+    """
+    edges = edges.repartition("seed", "salt")
+    met = edges.select("*", *_first(Window.partitionBy("seed", "salt", "a", "b")))
+    rare = met.where("salt = 0 AND source < last").drop("last")
+    often = met.where("salt > 0")
+    least = often.groupBy("a", "b").agg(
+        F.min("source").alias("source"), F.min_by("source_place", "source").alias("source_place"), F.max("last").alias("last")
+    ).where("source < last").drop("last")
+    often = often.drop("source", "source_place", "last").join(least, ["a", "b"])
+    columns = ("doc_id", "place", "edges", "source", "source_place")
+
+    def runs(d: DataFrame) -> DataFrame:
+        return d.where("source < doc_id").withColumn("edges", F.lit(1).cast("long"))
+
+    # windows over one minimizer meet in one partition, and neighbours mostly share it: runs begin to grow there
+    order = Window.partitionBy("seed", "salt", "doc_id").orderBy("place")
+    grown = _joined(runs(rare), order, "seed", "salt", "doc_id").select(*columns).union(runs(often).select(*columns))
+    first = rare.where("source = doc_id AND source_place = place").select("a", "b", "source", "source_place")
+    first = first.union(least.select("a", "b", "source", "source_place"))
+    both = common.written(first.unionByName(grown, allowMissingColumns=True), "edges")
+    return both.where("doc_id IS NULL").select("a", "b", "source", "source_place"), both.where("doc_id IS NOT NULL").select(*columns)
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """Nonbranching paths of the graph, in pieces that lie in one block of a source: source, block, start, end, path.
+
+    ``path`` is the place of the whole path's first edge at the source; ``end`` is the place after the piece's last.
+    """
+    into = edges.select(F.col("b").alias("node"), "source", (F.col("source_place") + 1).alias("place"), F.lit(1).alias("ins"))
+    out = edges.select(F.col("a").alias("node"), "source", F.col("source_place").alias("place"), F.lit(0).alias("ins"))
+    # the join of the edges that enter a node with those that leave it, with both degrees, in one exchange
+    nodes = into.union(out).groupBy("node").agg(
+        F.sum("ins").alias("ins"), F.count("*").alias("all"), F.min("source").alias("source"), F.max("source").alias("other"),
+        F.min("place").alias("place"), F.max("place").alias("then"),
+    )
+    links = nodes.where("ins = 1 AND all = 2 AND source = other AND place = then")
+    links = links.select("source", F.col("place").alias("source_place"), F.lit(1).alias("linked"))
+
+    d = edges.select("source", "source_place").join(links, ["source", "source_place"], "left")
+    d = d.withColumn("block", F.floor(F.col("source_place") / SPAN).cast("int"))
+    by = Window.partitionBy("source", "block").orderBy("source_place")
+    follows = (F.lag("source_place").over(by) + 1 == F.col("source_place")) & (F.col("linked") == 1)
+    d = d.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = d.groupBy("source", "block", "run").agg(
+        F.min("source_place").alias("start"),
+        (F.max("source_place") + 1).alias("end"),
+        F.min_by("linked", "source_place").alias("linked"),
+    ).drop("run")
+    pieces = common.written(pieces, "pieces")
+
+    # pieces that go on from the block before: each points to the piece before it, and pointers jump until all are heads
+    goes_on = pieces.where("linked = 1").select("source", "start")
+    before = pieces.select("source", F.col("end").alias("start"), F.col("start").alias("head"))
+    heads = common.written(goes_on.join(before, ["source", "start"]), "heads")
+    while True:
+        ahead = heads.select("source", F.col("start").alias("head"), F.col("head").alias("further"))
+        jumped = heads.join(ahead, ["source", "head"], "left")
+        jumped = common.written(jumped.select("source", "start", F.coalesce("further", "head").alias("head"), "further"), "heads")
+        heads = jumped.drop("further")
+        if jumped.where("further IS NOT NULL").isEmpty():
+            break
+    return pieces.join(heads, ["source", "start"], "left").select(
+        "source", "block", "start", "end", F.coalesce("head", "start").alias("path")
+    )
+
+
+def on_paths(runs: DataFrame, paths: DataFrame) -> DataFrame:
+    """Runs of edges cut where the paths at their source end: doc_id, start, words, source, source_start."""
+    last = F.col("source_place") + F.col("edges") - 1
+    blocks_of = F.sequence(F.floor(F.col("source_place") / SPAN).cast("int"), F.floor(last / SPAN).cast("int"))
+    d = runs.withColumn("block", F.explode(blocks_of)).join(paths, ["source", "block"])
+    low, high = F.greatest("source_place", "start"), F.least(last + 1, F.col("end"))
+    d = d.where(low < high).select(
         "doc_id",
-        "place",
-        F.lit(1).cast("long").alias("edges"),
-        F.first("doc_id").over(order).alias("source"),
-        F.first("place").over(order).alias("source_place"),
-    ).where("source < doc_id")
-    parts = _joined(edges, Window.partitionBy("seed", "doc_id").orderBy("place"), "seed", "doc_id")
-    paths = _joined(parts, Window.partitionBy("doc_id").orderBy("place"), "doc_id")
-    paths = paths.select(
+        (F.col("place") + low - F.col("source_place")).alias("place"),
+        (high - low).cast("long").alias("edges"),
+        "source",
+        low.alias("source_place"),
+        "path",
+    )
+    d = _joined(d, Window.partitionBy("doc_id").orderBy("place"), "doc_id", same=("source", "path"))
+    return d.select(
         "doc_id",
         F.col("place").alias("start"),
         (F.col("edges") + (WINDOW - 1)).cast("int").alias("words"),
         "source",
         F.col("source_place").alias("source_start"),
     )
-    return common.written(paths.union(copies), "paths")
+
+
+def repeated_paths(documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """Paths that an earlier document has: doc_id, start, words, source, source_start; not yet verified."""
+    copies = common.written(copies_of(documents), "copies")
+    seeds = recurring_seeds(documents).join(copies.select("doc_id"), "doc_id", "left_anti")
+    edges, runs = repeated_edges(edges_of(texts.join(seeds, "doc_id")))
+    return common.written(on_paths(runs, compacted(edges)).union(copies), "paths")
 
 
 def verified(paths: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,9 +362,9 @@ def verified(paths: DataFrame, texts: DataFrame) -> DataFrame:
     whole = F.struct(*_PATH)
     here = paths.groupBy("doc_id").agg(F.collect_list(whole).alias("paths"))
     here = digests_of(texts.select("doc_id", "z").join(here, "doc_id"), "start")
-    # a source may serve any number of documents: its paths come in lists of limited length
-    place = Window.partitionBy("source").orderBy("doc_id", "start")
-    there = paths.withColumn("list", F.floor(F.row_number().over(place) / 1000))
+    # a source may serve any number of documents: its paths come in lists of about a thousand, dealt by document
+    counts = paths.groupBy("source").agg(F.floor(F.count("*") / 1000).alias("lists"))
+    there = paths.join(counts, "source").withColumn("list", F.pmod(F.xxhash64("doc_id"), F.col("lists") + 1))
     there = there.groupBy("source", "list").agg(F.collect_list(whole).alias("paths"))
     there = texts.select(F.col("doc_id").alias("source"), "z").join(there, "source")
     return here.join(digests_of(there, "source_start"), [*_PATH, "digest"], "left_semi")
