@@ -9,7 +9,7 @@ The graph of the repeated edges is then compacted (``compacted``).  A node that
 which the second follows the first at the source, does not branch: the join of the two edges makes one path.  Paths grow
 inside blocks of ``SPAN`` places of a source first; what goes on across blocks is joined by pointer jumping.  Each
 document's repeated runs are cut where paths end (``on_paths``), and every piece is verified: the words at its source
-coordinates must be the words of the document.
+coordinates must be the words of the document (``spans_of``, ``covered``).
 
 A minimizer of many documents (a licence line) is dealt to one more partition for every ``HOT`` of them; its edges find
 their least occurrence by partial aggregation and get it by a join.  A source's places come in blocks, so nothing grows
@@ -113,7 +113,7 @@ def compressed(documents: DataFrame) -> DataFrame:
 
     doc_id is declared never null, so that all joins on it see one and the same exchange.
     """
-    others = [c for c in documents.columns if c.lower() not in ("doc_id", "text", "z", "spans")]
+    others = [c for c in documents.columns if c.lower() not in ("doc_id", "text", "z", "spans", "__paths")]
     d = documents.where("doc_id IS NOT NULL")
     d = d.select(F.col("doc_id").cast("long"), *others, F.col("text").cast("string"))
     last = len(others) + 1
@@ -185,18 +185,7 @@ def _pair(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     return mix(values + rows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-_PATH = ("doc_id", "start", "words", "source", "source_start")
-_PATHS = "doc_id long, start int, words int, source long, source_start int"
-_ARROW_PATHS = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("start", pa.int32()),
-        ("words", pa.int32()),
-        ("source", pa.int64()),
-        ("source_start", pa.int32()),
-        ("digest", pa.binary()),
-    ]
-)
+_SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
 
 
 def _digest(words: list[bytes], start: int, n: int) -> bytes | None:
@@ -204,21 +193,6 @@ def _digest(words: list[bytes], start: int, n: int) -> bytes | None:
     return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest() if start + n <= len(words) else None
 
 
-def digests_of(located: DataFrame, at: str) -> DataFrame:
-    """For rows of a compressed text and a list of paths: each path with the digest of its words, from place ``at`` on."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part, out = batch.slice(i, 256).to_pydict(), []
-                for text, paths in zip(_texts(part["z"]), part["paths"], strict=True):
-                    words = text.split()
-                    out += [p | {"digest": _digest(words, p[at], p["words"])} for p in paths]
-                yield pa.RecordBatch.from_pylist(out, schema=_ARROW_PATHS)
-
-    return located.select("z", "paths").mapInArrow(work, _PATHS + ", digest binary")
-
-
 def _joined(pieces: DataFrame, by: Window, *keys: str, same: tuple[str, ...] = ("source",)) -> DataFrame:
     """Pieces (place, edges, source, source_place) that continue each other here and at the source, made one."""
     near = (F.lag(F.col("place") + F.col("edges")).over(by) == F.col("place")) & (
@@ -239,8 +213,8 @@ def _joined(pieces: DataFrame, by: Window, *keys: str, same: tuple[str, ...] = (
 def recurring_seeds(documents: DataFrame) -> DataFrame:
     """doc_id and its minimizers that other documents have, too, each with the salt of its share of them."""
     seeds = seeds_of(documents)
-    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    met = common.written(met.where("low < high").select("seed", F.floor(F.col("n") / HOT).cast("int").alias("parts")), "seeds")
+    met = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")  # each counts once for a document
+    met = common.written(met.select("seed", F.floor(F.col("n") / HOT).cast("int").alias("parts")), "seeds")
     salt = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("doc_id"), F.col("parts") + 1) + 1).otherwise(0).cast("int")
     d = seeds.join(met, "seed").select("doc_id", F.struct("seed", salt.alias("salt")).alias("found"))
     return d.groupBy("doc_id").agg(F.collect_set("found").alias("seeds"))
@@ -258,28 +232,29 @@ def _first(by: Window) -> list:
 def repeated_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph's edges (nodes a, b; source, source_place), and the runs of edges that documents have of earlier ones.
 
-    Both come from one reading of the windows and are written as one table.
+    Both come from one exchange of the windows and are written as one table.
     """
-    edges = edges.repartition("seed", "salt")
-    met = edges.select("*", *_first(Window.partitionBy("seed", "salt", "a", "b")))
-    rare = met.where("salt = 0 AND source < last").drop("last")
-    often = met.where("salt > 0")
-    least = often.groupBy("a", "b").agg(
-        F.min("source").alias("source"), F.min_by("source_place", "source").alias("source_place"), F.max("last").alias("last")
-    ).where("source < last").drop("last")
-    often = often.drop("source", "source_place", "last").join(least, ["a", "b"])
-    columns = ("doc_id", "place", "edges", "source", "source_place")
-
-    def runs(d: DataFrame) -> DataFrame:
-        return d.where("source < doc_id").withColumn("edges", F.lit(1).cast("long"))
-
+    by = Window.partitionBy("seed", "salt", "a", "b")
+    # ``often`` is the salt again, but a filter on it stays above the exchange, which is then made once
+    met = edges.repartition("seed", "salt").select("*", *_first(by), F.max("salt").over(by).alias("often"))
+    least = "source = doc_id AND source_place = place AND source < last"
+    met_least = met.where(f"often > 0 OR ({least})")
+    nodes = met_least.select("often", "a", "b", "doc_id", "place", "source", "source_place", "last")
     # windows over one minimizer meet in one partition, and neighbours mostly share it: runs begin to grow there
     order = Window.partitionBy("seed", "salt", "doc_id").orderBy("place")
-    grown = _joined(runs(rare), order, "seed", "salt", "doc_id").select(*columns).union(runs(often).select(*columns))
-    first = rare.where("source = doc_id AND source_place = place").select("a", "b", "source", "source_place")
-    first = first.union(least.select("a", "b", "source", "source_place"))
-    both = common.written(first.unionByName(grown, allowMissingColumns=True), "edges")
-    return both.where("doc_id IS NULL").select("a", "b", "source", "source_place"), both.where("doc_id IS NOT NULL").select(*columns)
+    rare = met.where("often = 0 AND source < doc_id").withColumn("edges", F.lit(1).cast("long"))
+    columns = ("doc_id", "place", "edges", "source", "source_place")
+    grown = _joined(rare, order, "seed", "salt", "doc_id").select(*columns)
+    both = common.written(nodes.unionByName(grown, allowMissingColumns=True), "edges")
+
+    first = both.where("often = 0").select("a", "b", "source", "source_place")
+    common_ones = both.where("often > 0")
+    source = common_ones.groupBy("a", "b").agg(
+        F.min("source").alias("source"), F.min_by("source_place", "source").alias("source_place"), F.max("last").alias("last")
+    ).where("source < last").drop("last")
+    runs = common_ones.select("a", "b", "doc_id", "place").join(source, ["a", "b"]).where("source < doc_id")
+    runs = runs.withColumn("edges", F.lit(1).cast("long")).select(*columns)
+    return first.union(source.select(*first.columns)), both.where("often IS NULL").select(*columns).union(runs)
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -287,14 +262,15 @@ def compacted(edges: DataFrame) -> DataFrame:
 
     ``path`` is the place of the whole path's first edge at the source; ``end`` is the place after the piece's last.
     """
-    into = edges.select(F.col("b").alias("node"), "source", (F.col("source_place") + 1).alias("place"), F.lit(1).alias("ins"))
-    out = edges.select(F.col("a").alias("node"), "source", F.col("source_place").alias("place"), F.lit(0).alias("ins"))
+    enters, leaves = F.lit(1).cast("long"), F.lit(1 << 32).cast("long")
+    into = edges.select(F.col("b").alias("node"), "source", (F.col("source_place") + 1).alias("place"), enters.alias("degree"))
+    out = edges.select(F.col("a").alias("node"), "source", F.col("source_place").alias("place"), leaves.alias("degree"))
     # the join of the edges that enter a node with those that leave it, with both degrees, in one exchange
     nodes = into.union(out).groupBy("node").agg(
-        F.sum("ins").alias("ins"), F.count("*").alias("all"), F.min("source").alias("source"), F.max("source").alias("other"),
+        F.sum("degree").alias("degree"), F.min("source").alias("source"), F.max("source").alias("other"),
         F.min("place").alias("place"), F.max("place").alias("then"),
     )
-    links = nodes.where("ins = 1 AND all = 2 AND source = other AND place = then")
+    links = nodes.where((F.col("degree") == enters + leaves) & (F.col("source") == F.col("other")) & (F.col("place") == F.col("then")))
     links = links.select("source", F.col("place").alias("source_place"), F.lit(1).alias("linked"))
 
     d = edges.select("source", "source_place").join(links, ["source", "source_place"], "left")
@@ -357,17 +333,29 @@ def repeated_paths(documents: DataFrame, texts: DataFrame) -> DataFrame:
     return common.written(on_paths(runs, compacted(edges)).union(copies), "paths")
 
 
-def verified(paths: DataFrame, texts: DataFrame) -> DataFrame:
-    """The paths whose words stand at their source, too, with the digest of their words."""
-    whole = F.struct(*_PATH)
-    here = paths.groupBy("doc_id").agg(F.collect_list(whole).alias("paths"))
-    here = digests_of(texts.select("doc_id", "z").join(here, "doc_id"), "start")
+def spans_of(paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each path's doc_id, start and words with the digest of the words at its source, to hold the document against."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part, out = batch.slice(i, 256), []
+                lists = part.column("__paths").to_pylist()
+                for text, spans in zip(_texts(part.column("z").to_pylist()), lists, strict=True):
+                    words = text.split()
+                    out += [s | {"doc_id": s["target"], "digest": _digest(words, s["source_start"], s["words"])} for s in spans]
+                yield pa.RecordBatch.from_pylist(out, schema=_SPAN)
+
     # a source may serve any number of documents: its paths come in lists of about a thousand, dealt by document
-    counts = paths.groupBy("source").agg(F.floor(F.count("*") / 1000).alias("lists"))
-    there = paths.join(counts, "source").withColumn("list", F.pmod(F.xxhash64("doc_id"), F.col("lists") + 1))
-    there = there.groupBy("source", "list").agg(F.collect_list(whole).alias("paths"))
-    there = texts.select(F.col("doc_id").alias("source"), "z").join(there, "source")
-    return here.join(digests_of(there, "source_start"), [*_PATH, "digest"], "left_semi")
+    paths = paths.withColumnRenamed("doc_id", "target").withColumnRenamed("source", "doc_id")
+    counts = paths.groupBy("doc_id").agg(F.floor(F.count("*") / 1000).alias("lists"))
+    there = paths.join(counts, "doc_id").withColumn("list", F.pmod(F.xxhash64("target"), F.col("lists") + 1))
+    there = there.groupBy("doc_id", "list").agg(
+        F.collect_list(F.struct("target", "start", "words", "source_start")).alias("__paths")
+    ).drop("list")
+    # all columns of the texts go in, so that this join and the last one share an exchange
+    spans = texts.join(there, "doc_id").mapInArrow(work, "doc_id long, start int, words int, digest binary")
+    return spans.where("digest IS NOT NULL")
 
 
 def cut(documents: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -376,11 +364,11 @@ def cut(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     Adds n_words, n_removed and kept_sha256 (of the kept words joined by one space).  Where words go, ``text`` becomes
     the kept words joined by one space, elsewhere it stays; ``keep_text=False`` leaves the column out.
     """
-    added = ("n_words", "n_removed", "kept_sha256", "z", "spans")
+    added = ("n_words", "n_removed", "kept_sha256", "z", "spans", "__paths")
     documents = documents.select(*[c for c in documents.columns if c.lower() not in added])
     texts = compressed(documents)
     paths = repeated_paths(documents, texts)
-    spans = verified(paths, texts).groupBy("doc_id").agg(
+    spans = spans_of(paths, texts).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "words", "digest"))).alias("spans")
     )
     d = texts.join(spans, "doc_id", "left")

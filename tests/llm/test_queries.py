@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from quern.llm import queries
+from quern.llm import queries, substrings
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,29 @@ def test_substrings(spark, docs):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == brute.cut(docs)
 
 
+def test_substrings_of_hot_minimizers_in_short_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "SPAN", 5)
+    rows = queries.op3_substrings(spark, SF).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == brute.cut(docs)
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    # nodes 1 -> 2 -> 3 -> 4 -> 5 of one source; 3 is also entered from 9, whose source is another document
+    edges = [(1, 2, 7, 3), (2, 3, 7, 4), (3, 4, 7, 5), (4, 5, 7, 6), (9, 3, 8, 0)]
+    edges = spark.createDataFrame(edges, "a long, b long, source long, source_place int")
+    found = {(r.source, r.start, r.end, r.path) for r in substrings.compacted(edges).collect()}
+    assert found == {(7, 3, 5, 3), (7, 5, 7, 5), (8, 0, 1, 0)}
+
+
+def test_paths_go_on_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SPAN", 4)
+    edges = spark.createDataFrame([(i, i + 1, 7, i) for i in range(1, 23)], "a long, b long, source long, source_place int")
+    found = substrings.compacted(edges).collect()
+    assert {(r.block, r.path) for r in found} == {(k, 1) for k in range(6)}
+    assert sum(r.end - r.start for r in found) == 22
+
+
 def test_near_duplicates(spark, docs):
     rows = queries.op4_near_duplicates(spark, SF).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near(docs)
