@@ -1,7 +1,7 @@
 """How sources of a language differ in their terms, over an integer dictionary.
 
-Terms are counted in one pass: a task keeps a bounded table for each (lang, source) and hands on its partial counts, which
-Spark adds up.  The counts go, in UTF-8 order of (lang, term), into chunks of one language.  A chunk's dictionary is its
+Terms are counted in one pass: a task numbers the terms of some million words, counts the numbers for each (lang, source)
+and hands on its partial counts, which Spark adds up.  The counts go, in UTF-8 order of (lang, term), into chunks of one language.  A chunk's dictionary is its
 sorted array of kept terms; a term's id is its place there (``searchsorted``), so ids follow UTF-8 order, and each source's
 counts become a dense vector of the chunk (``bincount``).  Totals of all chunks give every source's N and every language's
 V; then the chunks are gone through once more, each by itself, and only sums of each pair of sources and the first ``TOP``
@@ -17,11 +17,12 @@ and no term rows; equal values are ranked by item in UTF-8 order; an empty table
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +31,8 @@ from quern.llm import common
 
 #: Documents that a kept term occurs in, terms ranked for a source, parts that shares are counted in.
 LEAST, TOP, SCALE = 3, 200, 10**9
-#: Partial counts that a task holds at once, terms in a chunk, cells (terms times sources) worked on at once.
-HELD, CHUNK, CELLS = 300_000, 1 << 14, 1 << 20
+#: Words that a task holds at once, terms in a chunk, cells (terms times sources) worked on at once.
+HELD, CHUNK, CELLS = 4_000_000, 1 << 14, 1 << 20
 #: Bytes of a text that are split into terms at once.
 PART = 1 << 22
 
@@ -55,40 +56,56 @@ _COUNTS = pa.schema(
 )
 
 
+class Counts:
+    """What a task has read of one language: term ids as they come, for each source of all words and of each text's terms."""
+
+    def __init__(self) -> None:
+        self.ids: dict[bytes, int] = Ids()
+        self.words: dict[str, list[np.ndarray]] = defaultdict(list)
+        self.docs: dict[str, list[np.ndarray]] = defaultdict(list)
+
+    def add(self, source: str, text: str | None) -> int:
+        found = [np.fromiter(map(self.ids.__getitem__, part), np.int32, len(part)) for part in terms(text)]
+        self.words[source] += found
+        if found:
+            self.docs[source].append(np.unique(np.concatenate(found)))
+        else:
+            self.docs[source]  # the group occurs
+        return sum(map(len, found))
+
+    def batches(self, lang: str) -> Iterator[pa.RecordBatch]:
+        spelled = pa.array(list(self.ids), pa.binary()).cast(pa.string())
+        for source, docs in self.docs.items():
+            n, d = (np.bincount(np.concatenate([np.zeros(0, np.int32), *x]), minlength=1) for x in (self.words[source], docs))
+            found = np.flatnonzero(n)
+            names = pa.concat_arrays([pa.nulls(1, pa.string()), spelled.take(pa.array(found))])
+            both = [pa.repeat(pa.scalar(x, pa.string()), len(names)) for x in (lang, source)]
+            counts = [pa.array(np.append(0, c[found])) for c in (d, n)]
+            yield pa.RecordBatch.from_arrays([*both, names, *counts], schema=_COUNTS)
+
+
+class Ids(dict):
+    """Numbers terms as they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, docs, n) of some rows at a time; a null term marks that the group occurs."""
-    seen: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    new = 0
-
-    def batch() -> Iterator[pa.RecordBatch]:
-        for (lang, source), found in seen.items():
-            names = [None, *(x.decode() for x in found)]
-            rows = [
-                pa.repeat(pa.scalar(lang, pa.string()), len(names)),
-                pa.repeat(pa.scalar(source, pa.string()), len(names)),
-                pa.array(names, pa.string()),
-                pa.array([0, *map(docs[lang, source].__getitem__, found)], pa.int64()),
-                pa.array([0, *found.values()], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(rows, schema=_COUNTS)
-
+    seen: dict[str, Counts] = defaultdict(Counts)
+    words = 0
     for b in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            group = lang or "", source or ""
-            own = seen[group]
-            before = len(own)
-            distinct: set[bytes] = set()
-            for part in terms(text):
-                own.update(part)
-                distinct.update(part)
-            docs[group].update(distinct)
-            new += len(own) - before
-            if new > HELD:
-                yield from batch()
-                seen.clear(), docs.clear()
-                new = 0
-    yield from batch()
+            words += seen[lang or ""].add(source or "", text)
+            if words >= HELD:
+                for at, counts in seen.items():
+                    yield from counts.batches(at)
+                seen.clear()
+                words = 0
+    for at, counts in seen.items():
+        yield from counts.batches(at)
 
 
 def scaled(count: np.ndarray, total: int, scale: int = SCALE) -> np.ndarray:
@@ -103,42 +120,59 @@ def scaled(count: np.ndarray, total: int, scale: int = SCALE) -> np.ndarray:
     return whole
 
 
+def chunk(lang: str, table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (term, source, n) in order of their terms, each new one of which begins at one of ``starts``, as chunks."""
+    coded = table.column("source").combine_chunks().dictionary_encode()
+    listed = coded.dictionary.to_pylist()
+    order = sorted(range(len(listed)), key=listed.__getitem__)
+    place = np.argsort(order)[coded.indices.to_numpy()]
+    terms_at, counts = table.column("term"), table.column("n").to_numpy()
+    step = max(1, CELLS // len(listed))
+    for first in range(0, len(starts), step):
+        kept = starts[first : first + step]
+        low, high = kept[0], starts[first + step] if first + step < len(starts) else len(counts)
+        ids = np.searchsorted(kept, np.arange(low, high), "right") - 1
+        cell = place[low:high] * len(kept) + ids
+        dense = np.zeros(len(listed) * len(kept), np.int64)
+        for shift, digit in ((0, 0xFFFFFFFF), (32, 0x7FFFFFFF)):  # bincount adds doubles: halves of a long stay exact
+            half = np.bincount(cell, (counts[low:high] >> shift) & digit, len(dense))
+            dense += half.astype(np.int64) << shift
+        row = {"lang": [lang], "terms": [terms_at.take(pa.array(kept)).to_pylist()], "sources": [[listed[i] for i in order]]}
+        row |= {"counts": [dense.tobytes()], "n": [dense.reshape(len(listed), -1).sum(axis=1).tolist()]}
+        yield pa.RecordBatch.from_pydict(row, schema=_CHUNK)
+
+
 def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (lang, term, source, n) as chunks: the dictionary, and a dense count vector of each source in it."""
-    names: list[str] = []  # of each row, as the next two
-    sources: list[str] = []
-    counts: list[int] = []
-    kept: list[str] = []
-    own: set[str] = set()
-    lang = None
-
-    def chunk() -> pa.RecordBatch:
-        words = np.array(kept, object)  # str sort by code point, as UTF-8 bytes do
-        ids = np.searchsorted(words, np.array(names, object))
-        listed = sorted(own)
-        place = {x: i for i, x in enumerate(listed)}
-        cell = np.fromiter((place[x] for x in sources), np.int64, len(sources)) * len(kept) + ids
-        dense = np.zeros(len(listed) * len(kept), np.int64)
-        size = int(cell.max()) + 1
-        for low, digit in ((0, 0xFFFFFFFF), (32, 0x7FFFFFFF)):  # bincount adds doubles: halves of a long stay exact
-            half = np.bincount(cell, (np.array(counts, np.int64) >> low) & digit, size)
-            dense[:size] += half.astype(np.int64) << low
-        row = {"lang": [lang], "terms": [kept], "sources": [listed], "counts": [dense.tobytes()]}
-        row["n"] = [dense.reshape(len(listed), -1).sum(axis=1).tolist()]
-        return pa.RecordBatch.from_pydict(row, schema=_CHUNK)
+    waiting: pa.Table | None = None
+
+    def cut(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+        """Chunks of all but the last terms, which may go on; these come at the end, as a table."""
+        lang, term = table.column("lang").combine_chunks(), table.column("term").combine_chunks()
+        n = len(table)
+        other = np.ones(n, bool)
+        other[1:] = pc.not_equal(lang[1:], lang[:-1]).to_numpy(False)
+        begins = np.flatnonzero(other)
+        fresh = other.copy()
+        fresh[1:] |= pc.not_equal(term[1:], term[:-1]).to_numpy(False)
+        starts = np.flatnonzero(fresh)
+        for a, b in zip(begins, [*begins[1:], n], strict=True):
+            own = starts[(starts >= a) & (starts < b)]
+            for k in range(0, len(own), CHUNK):
+                end = own[k + CHUNK] if k + CHUNK < len(own) else b
+                if end == n and not last:
+                    yield table.slice(own[k])
+                else:
+                    yield from chunk(lang[int(a)].as_py(), table.slice(own[k], end - own[k]), own[k : k + CHUNK] - own[k])
 
     for b in batches:
-        for at, term, source, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if kept and (at != lang or term != kept[-1] and (len(kept) >= CHUNK or len(kept) * len(own) >= CELLS)):
-                yield chunk()
-                names, sources, counts, kept, own = [], [], [], [], set()
-            lang = at
-            if not kept or term != kept[-1]:
-                kept.append(term)
-            own.add(source)
-            names.append(term), sources.append(source), counts.append(n)
-    if kept:
-        yield chunk()
+        table = pa.Table.from_batches([b])
+        waiting = table if waiting is None else pa.concat_tables([waiting, table])
+        if len(waiting) >= 4 * CHUNK:
+            *full, waiting = cut(waiting, False)
+            yield from full
+    if waiting is not None and len(waiting):
+        yield from cut(waiting, True)
 
 
 _CHUNK = pa.schema(
