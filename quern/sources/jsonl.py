@@ -23,6 +23,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read back from a table in the shared folder, for what is read more than once."""
+    at = new_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def write(df: DataFrame, at: str) -> None:
     df.write.json(at)
 
