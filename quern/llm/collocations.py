@@ -6,10 +6,11 @@ leads to the longest shorter suffix that ends at more.  It is built a layer at a
 that end at a place are the children of the (k-1)-word suffix that ends there.  Every phrase is listed from its state, and
 Spark adds the counts of all shards.
 
-Most phrases occur once, so three passes narrow down what is listed, and nothing frequent is ever lost: a frequent phrase
-has frequent words and pairs only.  The first two passes add up counts of hashes of words, then of pairs of such words;
-the hashes that reach ``LEAST`` go into a bitmap of a fixed size (``BITS``).  Equal hashes or bits let through what is rare,
-never hold back what is frequent.  The third pass lists phrases by their words and counts them exactly.
+The texts are split once; the shards, words as numbers, are a table that every pass reads.  Most phrases occur once, so
+three passes narrow down what is listed, and nothing frequent is ever lost: a frequent phrase has frequent parts only.  They
+add up counts of hashes of words, of pairs of such words, of runs of three with such pairs; the hashes (``HASH_BITS`` bits)
+that reach ``LEAST`` go into a bitmap of a fixed size (``BITS``).  Equal hashes or bits let through what is rare, never hold
+back what is frequent.  The last pass lists phrases by their words and counts them exactly.
 
 A phrase inside a longer one is found over the automaton's links of the global table: the longer one without its first
 word, and without its last.  One word more is enough to look at: whatever is longer still has no larger count.
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm import common
-from quern.llm.bytes import Block, mix, window_hashes
+from quern.llm.bytes import Block, mix
 
 #: Occurrences of a candidate, its most words, share (percent) of its occurrences that a longer one takes it over at, rows of a language.
 LEAST, DEPTH, INSIDE, TOP = 30, 4, 80, 2000
-#: Words of a shard, bytes of a text that are split at once, bits of a sieve (8 MB) as a power of two.
-SHARD, PART, BITS = 1 << 20, 1 << 22, 26
+#: Words of a shard, bytes of a text that are split at once.
+SHARD, PART = 1 << 20, 1 << 22
+#: Bits of the hashes that are counted, bits of a sieve (8 MB) as a power of two, words of the longest hashed phrases.
+HASH_BITS, BITS, HASHED = 40, 26, 3
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _SEPARATORS = frozenset(b".,;:!?\n\v\f\r")
@@ -76,8 +79,8 @@ class Shard:
         self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
-    def close(self) -> tuple[np.ndarray, list[bytes]]:
-        return np.concatenate(self.parts), list(self.ids)
+    def row(self) -> list:
+        return [self.lang, self.carried, np.concatenate(self.parts).astype("<i4").tobytes(), b" ".join(self.ids)]
 
 
 def word_hashes(lang: str, names: list[bytes]) -> np.ndarray:
@@ -98,7 +101,7 @@ class Sieve:
             self.bitmap[(bucket - 1) * 4096 :][:4096] = np.frombuffer(found, np.uint8)
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
+        at = hashes >> self.shift  # of a hash's first bits
         return self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
@@ -152,22 +155,25 @@ class Automaton:
 
 
 def gate(hashes: np.ndarray, x: np.ndarray, sieves: list[Sieve]) -> Callable[[int, np.ndarray], np.ndarray]:
-    """What the sieves let through: words by the first, pairs by the second."""
+    """What the sieves let through: words by the first, pairs by the second, and so on."""
 
     def allowed(k: int, ends: np.ndarray) -> np.ndarray:
         if k > len(sieves):
             return np.ones(len(ends), bool)
-        if k == 1:
-            return sieves[0].passes(hashes)[x[ends]]
-        return sieves[1].passes(pair_hashes(hashes, x, ends))
+        return sieves[k - 1].passes(gram_hashes(hashes, x, ends, k))
 
     return allowed
 
 
-def pair_hashes(hashes: np.ndarray, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(hashes[x[ends - 1]] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[x[ends]])
+def gram_hashes(hashes: np.ndarray, x: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the phrases of ``k`` words that end at ``ends``."""
+    out = hashes[x[ends - k + 1]]
+    for i in range(k - 2, -1, -1):
+        out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[x[ends - i]])
+    return out
 
 
+_SHARDS = pa.schema([("lang", pa.string()), ("carried", pa.int32()), ("ids", pa.binary()), ("names", pa.binary())])
 _HASHES = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int64()), ("n", pa.int64())])
 
@@ -175,33 +181,48 @@ _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words",
 def shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Shard]:
     """The rows (lang, text) of a task as shards; at most twice ``SHARD`` words wait, whatever the number of languages."""
     waiting: dict[str, Shard] = {}
-    keep = max(1, depth - 1)
+    total, keep = 0, max(1, depth - 1)
     for b in batches:
         for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             tail: list[bytes] = []
             for words in split(text):
                 shard = waiting.get(lang) or waiting.setdefault(lang, Shard(lang, []))
                 shard.add(words)
+                total += len(words)
                 tail = (tail + words[-keep:])[-keep:]
-                if shard.size >= SHARD or sum(s.size for s in waiting.values()) >= 2 * SHARD:
+                if shard.size >= SHARD or total >= 2 * SHARD:
                     full = shard if shard.size >= SHARD else max(waiting.values(), key=lambda s: s.size)
+                    total -= full.size
                     yield full
                     waiting[full.lang] = Shard(full.lang, tail if full is shard else [])
     yield from waiting.values()
 
 
-def hash_counts(depth: int, sieves: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(hash, n) of the phrases of ``depth`` (1 or 2) words that the sieves let through."""
+def shard_rows(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, depth):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(shard.row(), _SHARDS, strict=True)], schema=_SHARDS)
+
+    return rows
+
+
+def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, list[bytes]]]:
+    """Of each shard: lang, words carried over, words as numbers, and the words."""
+    for b in batches:
+        for i in range(b.num_rows):
+            lang, carried, ids, names = (c[i] for c in b.columns)
+            yield lang.as_py(), carried.as_py(), np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), names.as_py().split(b" ")
+
+
+def hash_counts(k: int, sieves: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(hash, n) of the phrases of ``k`` words that the sieves let through."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, depth):
-            x, names = shard.close()
-            hashes = word_hashes(shard.lang, names)
-            a = Automaton(x, depth, gate(hashes, x, [s.value for s in sieves]), shard.carried)
-            found = (a.length == depth) & (a.count > 0)
-            found[0] = False
-            ends = a.end[found]
-            own = hashes[x[ends]] if depth == 1 else pair_hashes(hashes, x, ends)
+        for lang, carried, x, names in read_shards(batches):
+            hashes = word_hashes(lang, names)
+            a = Automaton(x, k, gate(hashes, x, [s.value for s in sieves]), carried)
+            found = (a.length == k) & (a.count > 0)
+            own = gram_hashes(hashes, x, a.end[found], k) >> np.uint64(64 - HASH_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a.count[found])], schema=_HASHES)
 
     return count
@@ -211,15 +232,14 @@ def phrase_counts(sieves: list, depth: int) -> Callable[[Iterator[pa.RecordBatch
     """(lang, phrase, words, n) of the phrases that the sieves let through; a null phrase has the number of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, depth):
-            x, raw = shard.close()
-            a = Automaton(x, depth, gate(word_hashes(shard.lang, raw), x, [s.value for s in sieves]), shard.carried)
+        for lang, carried, x, raw in read_shards(batches):
+            a = Automaton(x, depth, gate(word_hashes(lang, raw), x, [s.value for s in sieves]), carried)
             names = ["", *(w.decode() for w in raw[1:])]
             spelled = [names[i] for i in x.tolist()]
-            phrases, words, n = [None], [0], [int((x[shard.carried :] > 0).sum())]
+            phrases, words, n = [None], [0], [int((x[carried:] > 0).sum())]
             for first, end, count in a.phrases():
                 phrases.append(" ".join(spelled[first:end])), words.append(end - first), n.append(count)
-            langs = pa.repeat(pa.scalar(shard.lang, pa.string()), len(phrases))
+            langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
             yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(words), pa.array(n)], schema=_PHRASES)
 
     return count
@@ -228,7 +248,7 @@ def phrase_counts(sieves: list, depth: int) -> Callable[[Iterator[pa.RecordBatch
 def sieve(counts: DataFrame, least: int, bits: int) -> Sieve:
     """The hashes counted ``least`` times; the driver gets a bitmap of a fixed size, however many they are."""
     frequent = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.shiftrightunsigned("hash", 64 - bits) + 1
+    place = F.shiftright("hash", HASH_BITS - bits) + 1
     found = frequent.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
     return Sieve(bits, found.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("found")).collect())
 
@@ -236,9 +256,10 @@ def sieve(counts: DataFrame, least: int, bits: int) -> Sieve:
 def frequent_phrases(documents: DataFrame, least: int = LEAST, depth: int = DEPTH, bits: int = BITS) -> DataFrame:
     """lang, phrase (null: all words), words, n of the phrases of up to ``depth`` words that occur ``least`` times."""
     d = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
+    d = common.written(d.mapInArrow(shard_rows(depth), "lang string, carried int, ids binary, names binary"), "shards")
     share = documents.sparkSession.sparkContext.broadcast
     sieves: list = []
-    for k in range(1, min(2, depth) + 1):
+    for k in range(1, min(HASHED, depth) + 1):
         sieves.append(share(sieve(d.mapInArrow(hash_counts(k, list(sieves)), "hash long, n long"), least, bits)))
     counts = d.mapInArrow(phrase_counts(sieves, depth), "lang string, phrase string, words long, n long")
     counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))
@@ -278,7 +299,8 @@ SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), listed AS (
   SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
 ), grams AS (

@@ -76,9 +76,8 @@ def test_short_shards_lose_nothing(spark, monkeypatch):
 
         return run
 
-    for name in ("hash_counts", "phrase_counts"):
-        made = getattr(collocations, name)
-        monkeypatch.setattr(collocations, name, lambda *a, made=made: small(made(*a)))
+    made = collocations.shard_rows
+    monkeypatch.setattr(collocations, "shard_rows", lambda depth: small(made(depth)))
     got = {(r.lang, r.phrase): r.n for r in collocations.frequent_phrases(d, least=5).collect()}
     assert got == want
 
