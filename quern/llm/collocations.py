@@ -36,7 +36,7 @@ from quern.llm.bytes import Block, mix
 #: Occurrences of a candidate, its most words, share (percent) of its occurrences that a longer one takes it over at, rows of a language.
 LEAST, DEPTH, INSIDE, TOP = 30, 4, 80, 2000
 #: Words of a shard, bytes of a text that are split at once.
-SHARD, PART = 1 << 20, 1 << 22
+SHARD, PART = 1 << 18, 1 << 22
 #: Bits of the hashes that are counted, bits of a sieve (8 MB) as a power of two, words of the longest hashed phrases.
 HASH_BITS, BITS, HASHED = 40, 26, 3
 
