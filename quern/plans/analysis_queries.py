@@ -316,7 +316,8 @@ _A = "stem LIKE 'a%'"
         WHEN o LIKE '%a' AND {_A} THEN 'deferred_' || CASE WHEN lane IN ('positive', 'negative') THEN 'finite' ELSE lane END || '_boundary:object_before_a_initial_stem'
         WHEN lane = 'negative' AND o IS NULL AND s LIKE '%a' AND {_A} THEN 'deferred_finite_boundary:subject_before_a_initial_stem'
         WHEN lane = 'negative' AND headword = 'na' THEN 'excluded_defective_pro_verb_stem:na' END AS code, {_ALLOWED} AS ok FROM hit
-      UNION SELECT surface, 'deferred_finite_boundary:' || CASE WHEN o IS NULL THEN 'subject' ELSE 'object' END || '_before_a_initial_stem', false FROM led JOIN res ON lookup = l2 OR lane = 'negative' AND lookup = st2 WHERE res.place <= 8),
+      UNION SELECT surface, 'deferred_finite_boundary:' || CASE WHEN o IS NULL THEN 'subject' ELSE 'object' END || '_before_a_initial_stem', false
+        FROM (SELECT surface, o, l2 FROM led UNION ALL SELECT surface, o, st2 FROM led WHERE lane = 'negative') e JOIN res ON lookup = l2 WHERE res.place <= 8),
     un AS (SELECT surface FROM s WHERE surface NOT IN (SELECT surface FROM code WHERE ok)),
     suf AS (SELECT surface, unnest(range(1, length(surface) - 1)) AS k FROM un WHERE regexp_matches(surface, '[ae]$')),
     x1 AS (SELECT DISTINCT surface, b, o, gated FROM (SELECT surface, left(surface, length(surface) - 1 - length(ext.s)) AS b, ext.o, style IN ('dz', 'ts', 'short') AS gated, trig FROM un, ext
