@@ -36,7 +36,7 @@ from quern.llm.bytes import Block, mix
 #: Occurrences of a candidate, its most words, share (percent) of its occurrences that a longer one takes it over at, rows of a language.
 LEAST, DEPTH, INSIDE, TOP = 30, 4, 80, 2000
 #: Words of a shard, bytes of a text that are split at once.
-SHARD, PART = 1 << 18, 1 << 22
+SHARD, PART = 1 << 17, 1 << 22
 #: Bits of the hashes that are counted, bits of a sieve (8 MB) as a power of two, words of the longest hashed phrases.
 HASH_BITS, BITS, HASHED = 40, 26, 3
 
@@ -80,7 +80,10 @@ class Shard:
         self.size += len(words)
 
     def row(self) -> list:
-        return [self.lang, self.carried, np.concatenate(self.parts).astype("<i4").tobytes(), b" ".join(self.ids)]
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress  # rows of some hundred kilobytes
+        return [self.lang, self.carried, pack(np.concatenate(self.parts).astype("<i4").tobytes()), pack(b" ".join(self.ids))]
 
 
 def word_hashes(lang: str, names: list[bytes]) -> np.ndarray:
@@ -208,10 +211,13 @@ def shard_rows(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, list[bytes]]]:
     """Of each shard: lang, words carried over, words as numbers, and the words."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         for i in range(b.num_rows):
-            lang, carried, ids, names = (c[i] for c in b.columns)
-            yield lang.as_py(), carried.as_py(), np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), names.as_py().split(b" ")
+            lang, carried, ids, names = (c[i].as_py() for c in b.columns)
+            yield lang, carried, np.frombuffer(unpack(ids), "<i4").astype(np.int64), unpack(names).split(b" ")
 
 
 def hash_counts(k: int, sieves: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
