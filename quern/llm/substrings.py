@@ -12,7 +12,7 @@ document's repeated runs are cut where paths end (``on_paths``), and every piece
 coordinates must be the words of the document (``spans_of``, ``covered``).
 
 A minimizer of many documents (a licence line) is dealt to one more partition for every ``HOT`` of them; its edges find
-their least occurrence by partial aggregation and get it by a join.  A source's places come in blocks, so nothing grows
+their least occurrence by partial aggregation, and each different run of such edges is looked up once (``walked``).  A source's places come in blocks, so nothing grows
 with the number of documents that have it.  Whole copies of an earlier document are a single path each, met by digest
 and left out of the graph.
 
@@ -237,24 +237,46 @@ def repeated_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = Window.partitionBy("seed", "salt", "a", "b")
     # ``often`` is the salt again, but a filter on it stays above the exchange, which is then made once
     met = edges.repartition("seed", "salt").select("*", *_first(by), F.max("salt").over(by).alias("often"))
-    least = "source = doc_id AND source_place = place AND source < last"
-    met_least = met.where(f"often > 0 OR ({least})")
-    nodes = met_least.select("often", "a", "b", "doc_id", "place", "source", "source_place", "last")
+    # of a common edge every partition has a least occurrence of its own
+    nodes = met.where("source = doc_id AND source_place = place AND (often > 0 OR source < last)")
+    nodes = nodes.select("often", "a", "b", "doc_id", "place", "source", "source_place", "last")
     # windows over one minimizer meet in one partition, and neighbours mostly share it: runs begin to grow there
     order = Window.partitionBy("seed", "salt", "doc_id").orderBy("place")
     rare = met.where("often = 0 AND source < doc_id").withColumn("edges", F.lit(1).cast("long"))
     columns = ("doc_id", "place", "edges", "source", "source_place")
     grown = _joined(rare, order, "seed", "salt", "doc_id").select(*columns)
-    both = common.written(nodes.unionByName(grown, allowMissingColumns=True), "edges")
+    both = nodes.unionByName(grown, allowMissingColumns=True).unionByName(common_runs(met.where("often > 0"), order), allowMissingColumns=True)
+    both = common.written(both, "edges")
 
     first = both.where("often = 0").select("a", "b", "source", "source_place")
-    common_ones = both.where("often > 0")
-    source = common_ones.groupBy("a", "b").agg(
+    source = both.where("often > 0").groupBy("a", "b").agg(
         F.min("source").alias("source"), F.min_by("source_place", "source").alias("source_place"), F.max("last").alias("last")
     ).where("source < last").drop("last")
-    runs = common_ones.select("a", "b", "doc_id", "place").join(source, ["a", "b"]).where("source < doc_id")
-    runs = runs.withColumn("edges", F.lit(1).cast("long")).select(*columns)
-    return first.union(source.select(*first.columns)), both.where("often IS NULL").select(*columns).union(runs)
+    runs = both.where("often IS NULL AND walk IS NULL").select(*columns)
+    return first.union(source.select(*first.columns)), runs.union(walked(both.where("walk IS NOT NULL"), source).select(*columns))
+
+
+def common_runs(met: DataFrame, order: Window) -> DataFrame:
+    """Consecutive edges of a document over one common minimizer as one row: doc_id, place, and ``walk``, the nodes passed."""
+    opens = F.when((F.lag("place").over(order) + 1 == F.col("place")) & (F.lag("b").over(order) == F.col("a")), 0).otherwise(1)
+    d = met.select("seed", "salt", "doc_id", "place", "a", "b").withColumn("opens", opens)
+    d = d.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.groupBy("seed", "salt", "doc_id", "run").agg(F.min("place").alias("place"), F.sort_array(F.collect_list(F.struct("place", "a", "b"))).alias("at"))
+    return d.select("salt", "doc_id", "place", F.concat("at.a", F.array(F.element_at("at", -1)["b"])).alias("walk"))
+
+
+def walked(runs: DataFrame, source: DataFrame) -> DataFrame:
+    """Runs with a walk cut where its edges change their source; each different walk (of a salt) is looked up once.
+
+    A passage of very many documents is a few walks, so its edges are joined that often, not once for each document.
+    """
+    edge = F.posexplode(F.zip_with(F.slice("walk", 1, F.size("walk") - 1), F.slice("walk", 2, F.size("walk") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    d = runs.groupBy("salt", "walk").agg(F.count("*").alias("n")).select("salt", "walk", edge.alias("at", "edge"))
+    d = d.select("salt", "walk", F.col("at").alias("place"), "edge.a", "edge.b").join(source, ["a", "b"])
+    d = d.withColumn("edges", F.lit(1).cast("long"))
+    d = _joined(d, Window.partitionBy("salt", "walk").orderBy("place"), "salt", "walk").withColumnRenamed("place", "at")
+    d = runs.select("salt", "walk", "doc_id", "place").join(d, ["salt", "walk"]).where("source < doc_id")
+    return d.withColumn("place", F.col("place") + F.col("at"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -406,13 +428,20 @@ def cut(documents: DataFrame, keep_text: bool = True) -> DataFrame:
 def covered(words: list[bytes], spans: list[dict]) -> np.ndarray:
     """Which words lie in a span, or in a later window of the same words as one of a span's."""
     out = np.zeros(len(words), bool)
-    hits: set[bytes] = set()
+    starts = np.zeros(max(0, len(words) - WINDOW + 1), bool)
     for s in spans:
         if _digest(words, s["start"], s["words"]) == s["digest"]:
             out[s["start"] : s["start"] + s["words"]] = True
-            hits.update(b" ".join(words[i : i + WINDOW]) for i in range(s["start"], s["start"] + s["words"] - WINDOW + 1))
-    if len(hits) < len(words) - WINDOW + 1:
-        for i in range(len(words) - WINDOW + 1):
-            if not out[i : i + WINDOW].all() and b" ".join(words[i : i + WINDOW]) in hits:
-                out[i : i + WINDOW] = True
+            starts[s["start"] : s["start"] + s["words"] - WINDOW + 1] = True
+    if starts.any() and not starts.all():
+        numbers: dict[bytes, int] = {}
+        ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.uint64)
+        runs = window_hashes(mix(ids + np.uint64(1)), WINDOW)
+        again = np.flatnonzero(~starts & np.isin(runs, runs[starts]))  # by hash first, then by the words
+        if len(again):
+            window = lambda i: b" ".join(words[i : i + WINDOW])
+            hits = {window(i) for i in np.flatnonzero(starts).tolist()}
+            for i in again.tolist():
+                if window(i) in hits:
+                    out[i : i + WINDOW] = True
     return out
