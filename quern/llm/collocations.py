@@ -10,7 +10,8 @@ The texts are split once; the shards, words as numbers, are a table that every p
 three passes narrow down what is listed, and nothing frequent is ever lost: a frequent phrase has frequent parts only.  They
 add up counts of hashes of words, of pairs of such words, of runs of three with such pairs; the hashes (``HASH_BITS`` bits)
 that reach ``LEAST`` go into a bitmap of a fixed size (``BITS``).  Equal hashes or bits let through what is rare, never hold
-back what is frequent.  The last pass lists phrases by their words and counts them exactly.
+back what is frequent.  The last pass lists phrases by their words and counts them exactly; single words only where they
+belong to a frequent pair, as no other is ever part of a candidate (the third pass gathers those words).
 
 A phrase inside a longer one is found over the automaton's links of the global table: the longer one without its first
 word, and without its last.  One word more is enough to look at: whatever is longer still has no larger count.
@@ -220,8 +221,15 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, n
             yield lang, carried, np.frombuffer(unpack(ids), "<i4").astype(np.int64), unpack(names).split(b" ")
 
 
+def paired(hashes: np.ndarray, x: np.ndarray, sieves: list[Sieve]) -> np.ndarray:
+    """The words (as numbers) of all pairs that the sieves let through."""
+    ends = np.flatnonzero((x[1:] > 0) & (x[:-1] > 0)) + 1
+    ends = ends[sieves[1].passes(gram_hashes(hashes, x, ends, 2))]
+    return np.unique(np.concatenate([x[ends], x[ends - 1]]))
+
+
 def hash_counts(k: int, sieves: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(hash, n) of the phrases of ``k`` words that the sieves let through."""
+    """(hash, n) of the phrases of ``k`` words that the sieves let through; with k = 3 also of words in pairs, from 2 ** HASH_BITS."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, carried, x, names in read_shards(batches):
@@ -230,20 +238,29 @@ def hash_counts(k: int, sieves: list) -> Callable[[Iterator[pa.RecordBatch]], It
             found = (a.length == k) & (a.count > 0)
             own = gram_hashes(hashes, x, a.end[found], k) >> np.uint64(64 - HASH_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a.count[found])], schema=_HASHES)
+            if k == 3:
+                words = hashes[paired(hashes, x, [s.value for s in sieves])] >> np.uint64(64 - HASH_BITS)
+                marked = words.view(np.int64) + (1 << HASH_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(marked), pa.array(np.ones(len(words), np.int64))], schema=_HASHES)
 
     return count
 
 
-def phrase_counts(sieves: list, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def phrase_counts(sieves: list, useful, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(lang, phrase, words, n) of the phrases that the sieves let through; a null phrase has the number of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, carried, x, raw in read_shards(batches):
-            a = Automaton(x, depth, gate(word_hashes(lang, raw), x, [s.value for s in sieves]), carried)
+            hashes = word_hashes(lang, raw)
+            a = Automaton(x, depth, gate(hashes, x, [s.value for s in sieves]), carried)
+            single = (useful.value.passes(hashes) if useful else np.ones(len(raw), bool)).tolist()
+            numbers = x.tolist()
             names = ["", *(w.decode() for w in raw[1:])]
-            spelled = [names[i] for i in x.tolist()]
+            spelled = [names[i] for i in numbers]
             phrases, words, n = [None], [0], [int((x[carried:] > 0).sum())]
             for first, end, count in a.phrases():
+                if end - first == 1 and not single[numbers[first]]:
+                    continue
                 phrases.append(" ".join(spelled[first:end])), words.append(end - first), n.append(count)
             langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
             yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(words), pa.array(n)], schema=_PHRASES)
@@ -251,23 +268,31 @@ def phrase_counts(sieves: list, depth: int) -> Callable[[Iterator[pa.RecordBatch
     return count
 
 
-def sieve(counts: DataFrame, least: int, bits: int) -> Sieve:
-    """The hashes counted ``least`` times; the driver gets a bitmap of a fixed size, however many they are."""
-    frequent = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.shiftright("hash", HASH_BITS - bits) + 1
-    found = frequent.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-    return Sieve(bits, found.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("found")).collect())
+def sieves_of(counts: DataFrame, least: int, bits: int) -> tuple[Sieve, Sieve]:
+    """The hashes counted ``least`` times, and the marked ones; the driver gets bitmaps of a fixed size, however many they are."""
+    marked = F.col("hash") >= F.lit(1 << HASH_BITS)
+    frequent = counts.groupBy("hash").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | marked)
+    place = F.shiftright(F.col("hash").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), HASH_BITS - bits) + 1
+    found = frequent.groupBy(marked.alias("marked"), F.bitmap_bucket_number(place).alias("bucket"))
+    rows = found.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("found")).collect()
+    return tuple(Sieve(bits, [(r["bucket"], r["found"]) for r in rows if r["marked"] == kind]) for kind in (False, True))
 
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, depth: int = DEPTH, bits: int = BITS) -> DataFrame:
-    """lang, phrase (null: all words), words, n of the phrases of up to ``depth`` words that occur ``least`` times."""
+    """lang, phrase (null: all words), words, n of the phrases of up to ``depth`` words that occur ``least`` times.
+
+    From a depth of 3, single words are listed only where they belong to such a pair.
+    """
     d = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
     d = common.written(d.mapInArrow(shard_rows(depth), "lang string, carried int, ids binary, names binary"), "shards")
     share = documents.sparkSession.sparkContext.broadcast
     sieves: list = []
+    useful = None
     for k in range(1, min(HASHED, depth) + 1):
-        sieves.append(share(sieve(d.mapInArrow(hash_counts(k, list(sieves)), "hash long, n long"), least, bits)))
-    counts = d.mapInArrow(phrase_counts(sieves, depth), "lang string, phrase string, words long, n long")
+        passing, marked = sieves_of(d.mapInArrow(hash_counts(k, list(sieves)), "hash long, n long"), least, bits)
+        sieves.append(share(passing))
+        useful = share(marked) if k == 3 else None
+    counts = d.mapInArrow(phrase_counts(sieves, useful, depth), "lang string, phrase string, words long, n long")
     counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))
     return common.written(counts, "phrases")
 
