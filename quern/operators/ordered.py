@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.sources import jsonl
+
 
 def carried(df: DataFrame, value: Column, by: list[str], order: list[Column], out: str, default: Column) -> DataFrame:
     """Adds the latest non-null ``value`` up to each row of its group."""
@@ -39,6 +41,38 @@ def gaps(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds the number of each row (from 1) in ascending order of columns that tell all rows apart.
+
+    Rows are dealt by ranges of the order and numbered within them; the driver sees how many each range has.
+    """
+    parts = jsonl.kept(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    return _offset(parts, ["__part"], [F.col(c) for c in order], out).drop("__part")
+
+
+def _offset(parts: DataFrame, within: list[str], order: list[Column], out: str) -> DataFrame:
+    """Numbers rows over parts that follow each other: the place in the part and the rows of the parts before."""
+    *outer, last = within
+    counts = sorted(tuple(r) for r in parts.groupBy(*within).count().collect())
+    rows, before = [], {}
+    for *names, n in counts:
+        group = tuple(names[:-1])
+        rows.append((*names, before.get(group, 0)))
+        before[group] = before.get(group, 0) + n
+    schema = ", ".join(f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in within)
+    offsets = parts.sparkSession.createDataFrame(rows, f"{schema}, __before long")
+    d = parts.withColumn("__n", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    return d.join(F.broadcast(offsets), within).withColumn(out, F.col("__before") + F.col("__n")).drop("__before", "__n")  # a row for each part
+
+
+def numbered_files(lines: DataFrame, out: str) -> DataFrame:
+    """Adds the number (from 1) of each line in its file to lines with file, block (where its piece of the file begins) and id.
+
+    ``id`` ascends within a piece; pieces are numbered each by itself, however long the file.
+    """
+    return _offset(jsonl.kept(lines, "lines"), ["file", "block"], [F.col("id")], out).drop("block", "id")
+
+
 def rotated(df: DataFrame, key: str, seed: int, limit: int, ranges: int = 1000) -> DataFrame:
     """The first ``limit`` rows in order of ``key``, begun ``seed`` places on (round the end; negative seeds, too).
 

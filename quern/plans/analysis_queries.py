@@ -55,10 +55,10 @@ def _end(x: str) -> Column:
 
 # Templates of forms by lane: S and O stand for each concord, a for the stem, e and i for the stem in e and in i.
 FORMS = {
-    "infinitive": ("ku{a}", "kusa{a}", "kuzvi{a}", "ku{O}{a}", "kusa{O}{a}"),
-    "positive": ("{S}no{a}", "ndino{O}{a}"),
-    "negative": ("ha{S}{i}", "ha{S}{e}", "hava{O}{i}"),
-    "imperative": ("{a}", "{a}i", "{a}nyi", "i{a}", "i{a}i", "{O}{e}", "usa{e}", "musa{e}", "musa{a}", "usa{O}{e}", "musava{e}"),
+    "infinitive": ("ku{a}", "kusa{a}", "kuzvi{a}", "kumu{a}", "kusava{a}", "kusaa{a}"),
+    "positive": ("{S}no{a}", "ndinomu{a}", "unova{a}"),
+    "negative": ("ha{S}{i}", "handi{e}", "hatimu{i}", "havava{e}"),
+    "imperative": ("{a}", "{a}i", "{a}nyi", "i{a}", "i{a}i", "{O}{e}", "usa{e}", "musa{e}", "musa{a}", "usamu{e}", "usaa{e}", "musava{e}"),
 }
 
 

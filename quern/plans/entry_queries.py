@@ -14,7 +14,7 @@ PARTS = {
     "k": "p_partkey",
     "hw": "CASE WHEN p_partkey % 6 IN (2, 3) THEN '-' ELSE '' END || replace(p_name, ' ', '')",
     "dag": "CASE WHEN p_partkey % 7 = 0 THEN '†' ELSE '' END",
-    "tn": "CASE p_partkey % 5 WHEN 0 THEN 'H' WHEN 1 THEN 'LL' WHEN 2 THEN 'HLH' WHEN 3 THEN 'LHLH' ELSE '' END",
+    "tn": "CASE WHEN p_partkey % 35 = 8 THEN 'XL' ELSE CASE p_partkey % 5 WHEN 0 THEN 'H' WHEN 1 THEN 'LL' WHEN 2 THEN 'HLH' WHEN 3 THEN 'LHLH' ELSE '' END END",
     "dia": "CASE p_partkey % 4 WHEN 0 THEN 'KMZ' WHEN 1 THEN 'Ko' WHEN 2 THEN '' ELSE 'Z' END",
     "wc": "CASE p_partkey % 6 WHEN 0 THEN 'n' WHEN 1 THEN 'n' WHEN 2 THEN 'v' WHEN 3 THEN 'vt' WHEN 4 THEN 'ideo' ELSE 'zz' END",
     "gr": "CASE WHEN p_partkey % 6 = 2 THEN CASE p_partkey % 9 WHEN 2 THEN 't' WHEN 5 THEN 'i' ELSE '' END ELSE '' END",
@@ -27,10 +27,11 @@ PARTS = {
     "drv": "CASE WHEN p_size % 7 = 2 THEN ' > banga; bangira.' ELSE '' END",
     "ex": "CASE WHEN p_size % 8 = 3 THEN ' Akaenda kumba: he went home.' ELSE '' END",
     "def2": "CASE WHEN p_partkey % 2 = 0 THEN ' 2. M t Seen as ' || lower(p_type) ELSE '' END",
+    "def3": "CASE WHEN p_partkey % 4 = 0 THEN ' 3. Said of it' ELSE '' END",
 }
 LINE = """dag || hw || CASE WHEN tn <> '' THEN ' [' || tn || ']' ELSE '' END || ' ' || CASE WHEN dia <> '' THEN dia || ' ' ELSE '' END || wc || ' '
 || CASE WHEN wc = 'n' AND cl <> '' THEN cl || CASE WHEN pl <> '' THEN ', pl: ' || pl ELSE '' END || ', ' WHEN gr <> '' THEN gr || ' ' ELSE '' END
-|| 'Kind of ' || lower(p_type) || '.' || ref || org || drv || ex || def2"""
+|| 'Kind of ' || lower(p_type) || '.' || ref || org || drv || ex || def2 || def3"""
 _PARTS_SQL = "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in PARTS.items()) + " FROM part"
 _LINES = f"WITH l AS (SELECT *, {LINE} AS line FROM ({_PARTS_SQL})) "
 _GOOD = "tn <> '' AND wc <> 'zz'"
@@ -99,26 +100,34 @@ def p05_attested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = computed.kept(entries.with_grammar(entries.with_noun(entries.with_header(lines(spark, sf_dir), "line"))), "size(errors) = 0")
-    return d.select("k", "dialects", "grammar", F.explode(entries.senses(F.col("rest"))).alias("s")).select("k", "dialects", "grammar", "s.*")
+    columns = ("k", "pos", "dialects", "grammar", "classes", "plural_prefixes")
+    return d.select(*columns, F.explode(entries.senses(F.col("rest"))).alias("s")).select(*columns, "s.*")
+
+
+_NOUN_GRAMMAR = "CASE WHEN wc = 'n' AND cl <> '' THEN 'class ' || replace(cls, ',', ',class ') || CASE WHEN pls <> '' THEN ',plural ' || replace(pls, '|', ',plural ') ELSE '' END ELSE '' END"
 
 
 @query(
     "p06_senses",
-    _LINES + f"""SELECT k, 1 AS number, {_DIA} AS dialects, CASE WHEN wc = 'vt' THEN 'vt' ELSE gr END AS grammar FROM l WHERE {_GOOD}
-    UNION ALL SELECT k, 2, 'M', 't' FROM l WHERE {_GOOD} AND def2 <> ''""",
+    _LINES + f"""SELECT k, 1 AS number, {_DIA} AS dialects, CASE WHEN wc = 'n' THEN {_NOUN_GRAMMAR} WHEN wc = 'vt' THEN 'vt' ELSE gr END AS grammar FROM l WHERE {_GOOD}
+    UNION ALL SELECT k, 2, 'M', 't' FROM l WHERE {_GOOD} AND def2 <> ''
+    UNION ALL SELECT k, 3, {_DIA}, CASE WHEN wc = 'n' THEN {_NOUN_GRAMMAR} WHEN wc = 'vt' THEN 'vt' ELSE '' END FROM l WHERE {_GOOD} AND def3 <> ''""",
 )
 def p06_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered senses; one without codes of its own has the entry's."""
+    """Numbered senses; one without dialects of its own has the entry's, one without codes what its entry gives it."""
     d = entries.with_sense_prefix(sense_rows(spark, sf_dir), "text")
-    own = lambda a, b: joined(F.when(F.size(a) > 0, F.col(a)).otherwise(F.col(b)))
-    return d.select("k", "number", own("sense_dialects", "dialects").alias("dialects"), own("sense_grammar", "grammar").alias("grammar"))
+    given = entries.grammar_of_sense(F.col("number"))
+    grammar = F.when(F.size("sense_grammar") > 0, F.col("sense_grammar")).otherwise(given)
+    dialects = F.when(F.size("sense_dialects") > 0, F.col("sense_dialects")).otherwise(F.col("dialects"))
+    return d.select("k", "number", joined(dialects).alias("dialects"), joined(grammar).alias("grammar"))
 
 
 @query(
     "p07_inner",
     _LINES + f"""SELECT k, 1 AS number, CASE WHEN ref <> '' THEN 'mota(K,M)' ELSE '' END AS refs, CASE WHEN org <> '' THEN 'Port mesa' ELSE '' END AS origins, CASE WHEN drv <> '' THEN 'banga,bangira' ELSE '' END AS derived,
     CASE WHEN ex <> '' THEN 'Akaenda kumba=he went home' ELSE '' END AS examples, 'Kind of ' || lower(p_type) || '.' AS definition FROM l WHERE {_GOOD}
-    UNION ALL SELECT k, 2, '', '', '', '', 'Seen as ' || lower(p_type) FROM l WHERE {_GOOD} AND def2 <> ''""",
+    UNION ALL SELECT k, 2, '', '', '', '', 'Seen as ' || lower(p_type) FROM l WHERE {_GOOD} AND def2 <> ''
+    UNION ALL SELECT k, 3, '', '', '', '', 'Said of it' FROM l WHERE {_GOOD} AND def3 <> ''""",
 )
 def p07_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands inside senses (references, origins, derived forms, examples), taken out of their definitions."""
@@ -131,18 +140,25 @@ def p07_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PL_FORMS = "CASE WHEN wc = 'n' AND cl <> '' THEN CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'map-' WHEN 2 THEN 'vana- (M)|mag- (Z)' ELSE 'mab- (M) & map-' END ELSE '' END"
 
 
+_BARE = "hw || ' [' || tn || '; ' || tn || CASE WHEN dia <> '' THEN ' ' || dia ELSE '' END || '] n 3, pl: ' || replace(pls, '|', ', ')"
+_SHAPE = """CASE WHEN wc = 'n' THEN CASE WHEN cl <> '' AND split_part(cls, ',', 1) = '1a' THEN 'noun_subclass' WHEN plurals <> '' THEN 'noun_with_plural' ELSE 'noun_plain' END
+      WHEN wc = 'vt' OR gr = 't' THEN 'verb_transitive' WHEN gr = 'i' THEN 'verb_intransitive' WHEN wc = 'v' THEN 'verb_other' WHEN wc = 'ideo' THEN 'ideophone' WHEN def2 <> '' THEN 'multi_sense_other' ELSE 'other' END"""
+
+
 @query(
     "p08_reader",
-    _LINES + f"""SELECT k, replace(hw, '-', '') AS headword, CASE WHEN wc = 'zz' THEN 'other' ELSE {_KIND} END AS kind, CASE WHEN wc = 'n' AND cl <> '' THEN split_part(cls, ',', 1) END AS noun_class, tn AS tones, {_PL_FORMS} AS plurals,
-    CASE WHEN wc = 'n' THEN CASE WHEN cl <> '' AND split_part(cls, ',', 1) = '1a' THEN 'noun_subclass' WHEN {_PL_FORMS} <> '' THEN 'noun_with_plural' ELSE 'noun_plain' END
-      WHEN wc = 'vt' OR gr = 't' THEN 'verb_transitive' WHEN gr = 'i' THEN 'verb_intransitive' WHEN wc = 'v' THEN 'verb_other' WHEN wc = 'ideo' THEN 'ideophone' WHEN def2 <> '' THEN 'multi_sense_other' ELSE 'other' END AS shape
-    FROM l WHERE tn <> ''""",
+    _LINES + f"""SELECT k, false AS bare, replace(hw, '-', '') AS headword, CASE WHEN wc = 'zz' THEN 'other' ELSE {_KIND} END AS kind, CASE WHEN wc = 'n' AND cl <> '' THEN split_part(cls, ',', 1) END AS noun_class, tn AS tones, plurals, {_SHAPE} AS shape
+    FROM (SELECT *, {_PL_FORMS} AS plurals FROM l) WHERE tn NOT IN ('', 'XL')
+    UNION ALL SELECT k, true, replace(hw, '-', ''), 'noun', '3', tn, pls, CASE WHEN pls <> '' THEN 'noun_with_plural' ELSE 'noun_plain' END FROM l WHERE tn NOT IN ('', 'XL')""",
 )
 def p08_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second, independent reading of a line: facts and the shape of its source."""
-    d = computed.kept(entries.with_facts(lines(spark, sf_dir), "line"), "fact_headword IS NOT NULL")
+    """The second, independent reading of a line: facts and the shape of its source; also of lines that end with their plurals."""
+    p = table(spark, sf_dir, "part").withColumns({k: F.expr(v) for k, v in PARTS.items()})
+    both = F.array(F.struct(F.lit(False).alias("bare"), F.expr(LINE).alias("line")), F.struct(F.lit(True).alias("bare"), F.expr(_BARE).alias("line")))
+    d = p.select("k", F.explode(both).alias("l")).select("k", "l.*")
+    d = computed.kept(entries.with_facts(d, "line"), "fact_headword IS NOT NULL")
     plurals = F.coalesce(joined("fact_plurals", "|"), F.lit(""))
-    return d.select("k", F.col("fact_headword").alias("headword"), F.col("fact_kind").alias("kind"), F.col("fact_class").alias("noun_class"), joined("fact_tones").alias("tones"), plurals.alias("plurals"), "shape")
+    return d.select("k", "bare", F.col("fact_headword").alias("headword"), F.col("fact_kind").alias("kind"), F.col("fact_class").alias("noun_class"), joined("fact_tones").alias("tones"), plurals.alias("plurals"), "shape")
 
 
 @query(
@@ -206,7 +222,7 @@ def j04_normalised_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j08_publishable",
     _LINES + """SELECT k, concat_ws(',', CASE WHEN wc = 'zz' THEN 'no_code' END, CASE WHEN length(lower(p_type)) > 6 THEN 'label_residue' END, CASE WHEN wc = 'n' AND cl = '' THEN 'no_class' END,
-    CASE WHEN tn IN ('', 'LHLH') THEN 'bad_tone' END, CASE WHEN p_size > 40 THEN 'unresolved_senses' END) AS messages FROM l""",
+    CASE WHEN tn IN ('', 'LHLH', 'XL') THEN 'bad_tone' END, CASE WHEN p_size > 40 THEN 'unresolved_senses' END) AS messages FROM l""",
 )
 def j08_publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that keeps an entry from publication: code, label, class, tone, numbers left in a definition."""
@@ -286,7 +302,7 @@ def j02_cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c05_lexical_qa",
-    _LINES + f""", c AS (SELECT k, wc, tn, cl, cls, hw, {_GOOD} AS parsed FROM l WHERE tn <> ''), u AS (SELECT unnest(['headword', 'kind', 'noun_class', 'tone']) AS metric,
+    _LINES + f""", c AS (SELECT k, wc, tn, cl, cls, hw, {_GOOD} AS parsed FROM l WHERE tn NOT IN ('', 'XL')), u AS (SELECT unnest(['headword', 'kind', 'noun_class', 'tone']) AS metric,
     unnest([CASE WHEN k % 11 = 0 THEN 0 ELSE 1 END, CASE WHEN wc = 'zz' THEN NULL WHEN parsed THEN 1 ELSE 0 END, CASE WHEN wc = 'n' AND cl <> '' THEN 1 END, 1]) AS ok FROM c)
     SELECT metric, count(*) FILTER (ok = 1) AS passed, count(ok) AS denominator, count(*) AS cases FROM u GROUP BY metric""",
 )

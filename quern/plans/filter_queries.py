@@ -262,9 +262,9 @@ def srt08_stable_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("srt09_longest_first", "SELECT DISTINCT p_name, CAST(dense_rank() OVER (ORDER BY -length(p_name), p_name) AS INTEGER) AS ordinal FROM part")
 def srt09_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dimension of surfaces numbered longest first (distinct names: a bounded vocabulary)."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select("p_name", F.row_number().over(Window.orderBy(-F.length("p_name"), "p_name")).alias("ordinal"))
+    """A dimension of surfaces numbered longest first, by ranges."""
+    names = table(spark, sf_dir, "part").select("p_name", (-F.length("p_name")).alias("size")).distinct()
+    return ordered.numbered(names, ["size", "p_name"], "ordinal").select("p_name", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query("srt11_most_common", "SELECT split_part(p_name, ' ', 2) AS word, count(*) AS times FROM part GROUP BY 1 ORDER BY times DESC, word LIMIT 10")

@@ -351,8 +351,8 @@ def c10_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "st01_rate_limit",
-    """WITH n AS (SELECT event_id, user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS win, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) AS n FROM events)
-    SELECT event_id, user_id, win, n AS used, greatest(0, 2 - n) AS remaining, n <= 2 AS allowed FROM n""",
+    """WITH n AS (SELECT event_id, user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS win, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) AS n, ts FROM events)
+    SELECT event_id, user_id, win, n AS used, greatest(0, 2 - n) AS remaining, n <= 2 AS allowed, (win + 1) * 86400 AS reset, CASE WHEN n > 2 THEN (win + 1) * 86400 - CAST(floor(epoch(ts)) AS BIGINT) END AS retry_after FROM n""",
 )
 def st01_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.streaming import limiter
@@ -360,6 +360,26 @@ def st01_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.batch(table(spark, sf_dir, "events"), 86_400, 2)
 
 
+@query(
+    "st01_stream",
+    """WITH n AS (SELECT event_id, user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS win, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) AS n, ts FROM events)
+    SELECT event_id, user_id, win, n AS used, greatest(0, 2 - n) AS remaining, n <= 2 AS allowed, (win + 1) * 86400 AS reset, CASE WHEN n > 2 THEN (win + 1) * 86400 - CAST(floor(epoch(ts)) AS BIGINT) END AS retry_after FROM n""",
+)
+def st01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from a stream: events land out of order in several files, and one from the future closes all windows."""
+    from quern.sources import jsonl
+    from quern.streaming import limiter
+
+    at = jsonl.new_folder(spark, "limits")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = e.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))
+    e.repartition(4, "event_id").write.parquet(f"{at}/landing/part=1")
+    last.write.parquet(f"{at}/landing/part=2")
+    landed = spark.readStream.schema(e.schema).parquet(f"{at}/landing/*")
+    limiter.run(spark, limiter.stream(landed, 86_400, 2), f"{at}/answers", f"{at}/state")
+    return spark.read.schema(limiter.ANSWER).parquet(f"{at}/answers").where("event_id >= 0")
+
+
 @query("st02_idempotent", "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY 1")
 def st02_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrive twice, in overlapping batches of JSON lines, are ingested once."""
@@ -371,6 +391,6 @@ def st02_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     jsonl.write(e.where("event_id % 3 <> 0"), f"{at}/landing/batch=1")
     jsonl.write(e.where("event_id % 3 <> 1"), f"{at}/landing/batch=2")
     ingest.run(spark, f"{at}/landing/*", e.schema, "event_id", f"{at}/table", f"{at}/state")
-    got = spark.read.schema(e.schema).parquet(f"{at}/table")
+    got = ingest.ingested(spark, f"{at}/table", e.schema)
     n = got.groupBy("event_type", "event_id").agg(F.count("*").alias("n"))
     return n.groupBy("event_type").agg(F.sum("n").alias("events"), F.count("*").alias("distinct_events"))

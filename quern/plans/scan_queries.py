@@ -12,12 +12,20 @@ from quern.streaming import ingest
 from quern.plans.base import query, table
 
 
-@query("src01_strict", "SELECT event_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
+@query("src01_strict", "SELECT event_id, event_type, CAST(value AS DOUBLE) AS value, 0 AS displaced FROM events")
 def src01_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines, of which every one must fit the schema."""
+    """JSON lines, of which every one must fit the schema, with their numbers: files are written in order and so must be read.
+
+    Blank lines stand between them, so the n-th row of a file is its line 2n - 1.
+    """
+    from pyspark.sql.window import Window
+
     at = jsonl.new_folder(spark, "strict")
-    jsonl.write(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), at)
-    return jsonl.strict(spark, at, "event_id long, event_type string, value double")
+    e = table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id")
+    e.select(F.explode(F.array(F.to_json(F.struct("event_id", "event_type", "value")), F.lit(" "))).alias("value")).write.text(at)
+    d = jsonl.strict(spark, at, "event_id long, event_type string, value double")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("event_id"))
+    return d.select("event_id", "event_type", "value", (F.col("line") - 2 * place + 1).cast("int").alias("displaced"))
 
 
 @query("src02_lenient", "SELECT event_id % 10 = 3 AS bad, count(*) AS lines, count(CASE WHEN event_id % 10 <> 3 THEN event_type END) AS read FROM events GROUP BY 1")
@@ -41,23 +49,19 @@ def src03_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src04_batch_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch documents of a known version; one with another version, no entries or a locator twice is refused whole."""
     at = jsonl.new_folder(spark, "batches")
-    p = table(spark, sf_dir, "part")
-    entry = F.struct(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("locator"), F.col("p_name").alias("raw"))
-    docs = p.groupBy(F.col("p_brand").alias("batch_id")).agg(F.collect_list(entry).alias("entries"), F.count("*").alias("n"))
-    version = F.when(F.col("n") > 85, "other").otherwise("batch-v1")  # a batch document is one row by its own definition
-    jsonl.write(docs.select(version.alias("format_version"), "batch_id", "entries"), at)
-    read = jsonl.strict(spark, at, "format_version string, batch_id string, entries array<struct<locator string, raw string>>")
-    unique = F.size(F.array_distinct("entries.locator")) == F.size("entries")
-    good = read.where((F.col("format_version") == "batch-v1") & (F.size("entries") > 0) & unique)
-    return good.select("batch_id", F.explode("entries").alias("e")).select("batch_id", "e.*")
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("locator"), F.col("p_name").alias("raw"))
+    many = p.groupBy("batch_id").agg(F.when(F.count("*") > 85, "other").otherwise(jsonl.BATCH).alias("format_version"))
+    jsonl.write(p.join(many, "batch_id"), at)
+    return jsonl.batches(spark, at, "batch_id string, locator string, raw string").select("batch_id", "locator", "raw")
 
 
-@query("src05_clean_lines", "SELECT doc_id, CAST(i AS INTEGER) AS number, trim(regexp_replace(string_split(text, chr(10))[i], '[ \\t]+', ' ', 'g')) AS line FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE lang = 'de')")
+@query("src05_clean_lines", "SELECT doc_id, CAST(i AS INTEGER) AS number, '† ' || trim(string_split(text, chr(10))[i], ' ' || chr(9)) || ' a-b-c' AS line FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
 def src05_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'de'")
-    spoilt = F.replace(F.replace("text", F.lit("é"), F.lit("Ã©")), F.lit(" "), F.lit(" ­ "))  # put wrong, to be put right
-    d = d.select("doc_id", F.explode(jsonl.numbered_lines(spoilt)).alias("l"))
-    return d.select("doc_id", "l.number", jsonl.cleaned_line(F.col("l.line")).alias("line"))
+    """Every line of the documents, put wrong as a bad scan would (dagger, soft hyphens, odd hyphens, blanks), then cleaned."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(jsonl.numbered_lines(F.col("text"))).alias("l"))
+    line = F.regexp_replace("l.line", r"^[ \t]+|[ \t]+$", "")
+    spoilt = F.concat(F.lit("\t\u00a0 â€\u00a0 "), F.replace(line, F.lit(" "), F.lit("\u00ad ")), F.lit(" a\u2010b\u2011c \u00ad\r"))
+    return d.select("doc_id", "l.number", jsonl.cleaned_line(spoilt).alias("line"))
 
 
 @query("src08_pages", "SELECT p_size AS page, p_name AS headword, 'book:page_' || lpad(CAST(p_size - 24 AS VARCHAR), 3, '0') AS locator FROM part WHERE p_size BETWEEN 30 AND 40")
@@ -84,10 +88,10 @@ def src09_plural_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("headword", "p_size", F.get("s", F.lit(0)).alias("plural"))
 
 
-@query("src11_units", "SELECT doc_id, md5(text) AS raw_md5 FROM documents WHERE lang = 'en' ORDER BY doc_id")
+@query("src11_units", "SELECT doc_id, md5(text) AS raw_md5 FROM documents ORDER BY doc_id")
 def src11_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read-only scan of units in order."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5("text").alias("raw_md5")).orderBy("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("raw_md5")).orderBy("doc_id")
 
 
 @query("src12_partitions", "SELECT count(*) AS rows, sum(n_chars) AS chars FROM documents")
@@ -148,13 +152,13 @@ def snk05_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st03_resume", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")
 def st03_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs over a growing folder: the second takes up where the first ended, by its checkpoint."""
+    """Two runs over a growing folder: the second takes up where the first ended, and refuses what the first has."""
     at = jsonl.new_folder(spark, "resume")
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     for part in (0, 1):
-        jsonl.write(e.where(F.col("event_id") % 2 == part), f"{at}/landing/batch={part}")
+        jsonl.write(e.where((F.col("event_id") % 2 == part) | (F.col("event_id") % 7 == 0)), f"{at}/landing/batch={part}")
         ingest.run(spark, f"{at}/landing/*", e.schema, "event_id", f"{at}/table", f"{at}/state")
-    return spark.read.schema(e.schema).parquet(f"{at}/table").groupBy("event_type").agg(F.count("*").alias("events"))
+    return ingest.ingested(spark, f"{at}/table", e.schema).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
 @query("st04_after_save", "SELECT event_id, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS tag FROM events WHERE event_type = 'purchase'")

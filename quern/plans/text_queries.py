@@ -125,7 +125,7 @@ CONFUSABLE = ("vw", "bh", "ij", "mn", "uo")
 
 @query(
     "s20_confusable",
-    f"""WITH w AS ({_WORDS}), t AS (SELECT word FROM w WHERE length(word) BETWEEN 4 AND 12 AND regexp_matches(word, '^[a-z]+$')),
+    f"""WITH w AS ({_WORDS}), t AS (SELECT word FROM w WHERE length(word) >= 4),
     h AS (SELECT word, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole, substr(word, i, 1) AS c
       FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM t) WHERE substr(word, i, 1) IN ({", ".join(f"'{c}'" for c in sorted(set("".join(CONFUSABLE))))}))
     SELECT a.word AS left_word, b.word AS right_word, CAST(a.i AS BIGINT) AS place FROM h a JOIN h b ON a.hole = b.hole AND a.i = b.i
@@ -133,11 +133,13 @@ CONFUSABLE = ("vw", "bh", "ij", "mn", "uo")
 )
 def s20_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words one confusable letter apart, met by an equi-join on the word with that letter left open."""
-    w = distinct_words(spark, sf_dir).where(F.length("word").between(4, 12) & F.col("word").rlike("^[a-z]+$"))
-    w = w.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    w = distinct_words(spark, sf_dir).where(F.length("word") >= 4)
+    letters = F.array(*map(F.lit, sorted(set("".join(CONFUSABLE)))))
+    places = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.array_contains(letters, F.substring(F.col("word"), i, F.lit(1))))
+    w = w.select("word", F.explode(places).alias("i"))
     c = F.substring("word", F.col("i"), F.lit(1))
-    hole = F.concat(F.substring("word", F.lit(1), F.col("i") - 1), F.lit("_"), F.substring("word", F.col("i") + 1, F.lit(99)))
-    h = w.select("word", "i", hole.alias("hole"), c.alias("c")).where(F.col("c").isin(*sorted(set("".join(CONFUSABLE)))))
+    hole = F.concat(F.substring("word", F.lit(1), F.col("i") - 1), F.lit("_"), F.substring("word", F.col("i") + 1, F.length("word")))
+    h = w.select("word", "i", hole.alias("hole"), c.alias("c"))
     a, b = h.select(F.col("word").alias("left_word"), "i", "hole", F.col("c").alias("ca")), h.withColumnRenamed("word", "right_word")
     pairs = [p for x in CONFUSABLE for p in (x, x[::-1])]
     j = a.join(b, ["hole", "i"]).where((F.col("left_word") < F.col("right_word")) & F.concat("ca", "c").isin(pairs))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Sequences of letters that stand for another after a wrong decoding, and signs that look like a hyphen.  Fixed values.
-MOJIBAKE = {"â€™": "’", "â€œ": "“", "â€": "”", "Ã©": "é"}
-HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2212"
+# What a wrong decoding left of a dagger, and signs for a hyphen.
+DAGGER = "â€\u00a0"
+HYPHENS = "\u2010\u2011"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -39,12 +39,46 @@ def read(spark: SparkSession, at: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(at)
 
 
+def lines(spark: SparkSession, at: str) -> DataFrame:
+    """Lines (value) of text files with their file, the place where their piece of it begins (block), and ``id``, ascending in a piece."""
+    return spark.read.text(at).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+
+
 def strict(spark: SparkSession, at: str, schema: str) -> DataFrame:
-    """``read``, refusing a folder without rows."""
-    rows = read(spark, at, schema)
-    if rows.isEmpty():
+    """Rows of the schema with ``file`` and ``line`` (its number, from 1); blank lines count, but are no rows.
+
+    A line that is no JSON object of the schema ends the query with its number, a folder without rows is refused.
+    """
+    from quern.operators import ordered  # it needs tables of this module
+
+    d = ordered.numbered_files(lines(spark, at), "line").where(F.trim("value") != "")
+    if d.isEmpty():
         raise ValueError(f"no lines in {at}")
-    return rows
+    parsed = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    d = d.withColumn("__row", parsed)
+    wrong = F.col("__row").isNull() | F.col("__row.__bad").isNotNull() | ~F.ltrim("value").startswith("{")
+    fault = F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"), F.lit(" is not valid"))).cast("string")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return d.select(*[f"__row.{n}" for n in names], F.when(wrong, fault).otherwise(F.col("file")).alias("file"), "line")
+
+
+#: Version of batches that is read.
+BATCH = "batch-v1"
+
+
+def batches(spark: SparkSession, at: str, schema: str) -> DataFrame:
+    """Entries of all good batches: lines with batch_id, format_version and a locator.
+
+    A batch may have any number of lines, in any files.  One of another version on any line, or with a locator that is
+    null or stands twice, is refused whole; locators are counted batch by batch, in parts.
+    """
+    rows = read(spark, at, f"{schema}, format_version string")
+    wrong = F.coalesce(F.col("format_version") != BATCH, F.lit(True)) | F.col("locator").isNull()
+    seen = rows.groupBy("batch_id", "locator").agg(F.count("*").alias("n"), F.max(wrong).alias("wrong"))
+    bad = seen.groupBy("batch_id").agg(F.max(F.col("wrong") | (F.col("n") > 1)).alias("bad")).where("bad").select("batch_id")
+    return rows.where("batch_id IS NOT NULL").join(bad, "batch_id", "left_anti")
 
 
 def lenient(spark: SparkSession, at: str, schema: str) -> DataFrame:
@@ -58,11 +92,9 @@ def numbered_lines(text, name: str = "line"):
 
 
 def cleaned_line(x):
-    """A line with wrong decodings put right, soft hyphens gone, hyphens alike and blanks collapsed."""
-    for wrong, right in MOJIBAKE.items():
-        x = F.replace(x, F.lit(wrong), F.lit(right))
-    x = F.translate(F.replace(x, F.lit("\u00ad"), F.lit("")), HYPHENS, "-" * len(HYPHENS))
-    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+    """A line with its daggers put right, soft hyphens gone, two kinds of hyphen made one, and no white space round it."""
+    x = F.replace(F.replace(x, F.lit(DAGGER), F.lit("†")), F.lit("\u00ad"), F.lit(""))
+    return F.regexp_replace(F.translate(x, HYPHENS, "-" * len(HYPHENS)), r"(?U)^\s+|\s+$", "")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -1,26 +1,91 @@
-"""Fixed-window rate limits over requests: as a batch, and as a stream of windowed counts."""
+"""Fixed-window rate limits over requests: as a batch, and as a stream that answers every event once its window is over."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+#: State that a stream of timers needs.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+ANSWER = "event_id long, user_id long, win long, used long, remaining long, allowed boolean, reset long, retry_after long"
+
+
+def _second() -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+
 
 def batch(events: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """For each event its window, how many the user made in it so far, how many remain and whether it is allowed."""
-    since = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    win = F.floor(since / seconds).cast("long")
-    e = events.select("event_id", "user_id", "ts", win.alias("win"))
+    """For each event its window, how many the user made in it so far, how many remain, whether it is allowed, and when next.
+
+    ``reset`` is the second in which the window ends, ``retry_after`` how many seconds that is from a refused event.
+    Events of one second and user are ordered by event_id.
+    """
+    win = F.floor(_second() / seconds).cast("long")
+    e = events.select("event_id", "user_id", "ts", _second().alias("second"), win.alias("win"))
     used = F.row_number().over(Window.partitionBy("user_id", "win").orderBy("ts", "event_id")).cast("long")
-    e = e.select("event_id", "user_id", "win", used.alias("used"))
-    return e.withColumn("remaining", F.greatest(F.lit(0).cast("long"), limit - F.col("used"))).withColumn("allowed", F.col("used") <= limit)
+    e = e.withColumns({"used": used, "reset": (F.col("win") + 1) * seconds})
+    e = e.withColumn("remaining", F.greatest(F.lit(0).cast("long"), limit - F.col("used"))).withColumn("allowed", F.col("used") <= limit)
+    after = F.when(~F.col("allowed"), F.col("reset") - F.col("second"))
+    return e.select("event_id", "user_id", "win", "used", "remaining", "allowed", "reset", after.alias("retry_after"))
+
+
+class Limiter(StatefulProcessor):
+    """Keeps the events of one user and window until the watermark has passed it, then answers them in order of time."""
+
+    def __init__(self, seconds: int, limit: int):
+        self.seconds, self.limit = seconds, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at long, event_id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = [(int(at), int(i)) for part in rows for at, i in zip(part["at"], part["event_id"], strict=True)]
+        if found:
+            self.events.appendList(found)
+            self.handle.registerTimer((int(key[1]) + 1) * self.seconds * 1000)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        user, win = int(key[0]), int(key[1])
+        reset = (win + 1) * self.seconds
+        out = []
+        for used, (at, event) in enumerate(sorted(self.events.get()), 1):
+            allowed = used <= self.limit
+            out.append((event, user, win, used, max(0, self.limit - used), allowed, reset, None if allowed else reset - at // 1_000_000))
+        self.events.clear()
+        d = pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+        yield d.astype({"retry_after": "Int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def stream(events: DataFrame, seconds: int, limit: int, late: str = "10 minutes") -> DataFrame:
-    """Counts of each user and window of a stream of events, final once the watermark has passed."""
-    n = events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "user_id").agg(F.count("*").alias("used"))
-    return n.select(
-        "user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("reset"), "used",
-        F.greatest(F.lit(0).cast("long"), F.col("used") - limit).alias("refused"),
+    """The rows of ``batch`` for a stream of events (event_id, user_id, ts), each once the watermark has passed its window.
+
+    Events may come in any order within ``late``; state holds open windows alone.  ``run`` starts it.
+    """
+    win = F.floor(_second() / seconds).cast("long")
+    e = events.withWatermark("ts", late).select("event_id", "user_id", "ts", win.alias("win"), F.unix_micros("ts").alias("at"))
+    return e.groupBy("user_id", "win").transformWithStateInPandas(
+        statefulProcessor=Limiter(seconds, limit), outputStructType=ANSWER, outputMode="Append", timeMode="EventTime"
     )
+
+
+def run(spark: SparkSession, answers: DataFrame, table: str, state: str) -> None:
+    """Answers all that has landed and stops."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        q = answers.writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
+        q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
