@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import learning
-from quern.operators import cascade
+from quern.operators import cascade, replay
 from quern.plans import analysis_queries as verbs
 from quern.plans.base import query, table
 from quern.sources import jsonl
@@ -95,3 +95,31 @@ def c09_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = cascade.tagged(found, index)
     score = learning.score(F.col("lesson"), F.col("occurrences"))
     return d.withColumns({"score": score, "frequency_tier": learning.tier(score), "level": learning.level(F.col("lesson"))})
+
+
+#: Forms that a dictionary may list of a verb: some that are read, some that are not, one that must be passed over.
+_LISTED = (("ku{a}", ""), ("ndino{a}", ""), ("handi{i}", ""), ("{a}i", ""), ("hava{a}", ""), ("no{a}x", ""), ("ku{a}no", "derived"))
+
+
+@query(
+    "c04_replay",
+    rf"""WITH {_DICTIONARY}, f AS (SELECT entry, headword, replace(replace(t, '{{a}}', headword), '{{i}}', left(headword, length(headword) - 1) || 'i') AS form, kind
+        FROM entries, (VALUES {", ".join(f"('{t}', '{k}')" for t, k in _LISTED)}) l(t, kind)),
+    g AS (SELECT * FROM f WHERE kind <> 'derived' AND CASE WHEN form = 'ku' || headword THEN true WHEN ends_with(form, headword) THEN
+        regexp_matches(left(form, length(form) - length(headword)), '^ku|^ha|no$') ELSE regexp_matches(form, '^ku|^ha|no') END),
+    r AS (SELECT surface, list_sort(list_distinct(list(entry))) AS e, list_distinct(list(headword)) AS h FROM ({verbs._readings_sql(
+        "SELECT DISTINCT replace(replace(t, '{a}', headword), '{i}', left(headword, length(headword) - 1) || 'i') FROM entries, (VALUES " + ", ".join(f"('{t}')" for t, k in _LISTED if not k) + ") l(t)"
+    ).replace("s AS (SELECT DISTINCT replace", "s(surface) AS (SELECT DISTINCT replace")}) GROUP BY 1),
+    n AS (SELECT g.entry, headword, form, e, CASE WHEN e IS NULL THEN 'unread' WHEN list_contains(e, entry) THEN CASE WHEN len(e) > 1 THEN 'several_entries' END
+        WHEN list_contains(h, headword) THEN CASE WHEN len(h) = 1 THEN 'homographs_only' ELSE 'homographs_and_others' END ELSE 'other_headword' END AS note FROM g LEFT JOIN r ON surface = form)
+    SELECT entry, headword, form, CASE note WHEN 'unread' THEN 'morphology_unsupported' WHEN 'other_headword' THEN 'wrong_lemma' ELSE CASE WHEN note IS NOT NULL THEN 'ambiguous_result' END END AS category, note,
+      CASE WHEN note IN ('unread', 'other_headword') THEN 'error' WHEN note IS NOT NULL THEN 'info' END AS severity,
+      CASE WHEN note = 'other_headword' THEN e[1] WHEN note IS NOT NULL THEN list_filter(e, lambda x: x <> entry)[1] END AS actual FROM n""",
+)
+def c04_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed forms of every entry read again: whether each leads back to its entry, to homographs, elsewhere or nowhere."""
+    lex = jsonl.kept(verbs.entries(verbs.spelled(spark, sf_dir)), "entries")
+    e = F.expr("left(headword, length(headword) - 1)")
+    made = [F.struct(F.replace(F.replace(F.lit(t), F.lit("{a}"), F.col("headword")), F.lit("{i}"), F.concat(e, F.lit("i"))).alias("form"), F.lit(k).alias("kind")) for t, k in _LISTED]
+    forms = lex.select("entry", "headword", F.explode(F.array(*made)).alias("f")).select("entry", "headword", "f.*")
+    return replay.replayed(forms, lex)
