@@ -119,14 +119,48 @@ def test_raking_meets_its_targets():
     assert (fit <= cells + 1e-9).all() and abs(fit.sum() - 800) < 40
 
 
-def test_pipeline_stages(spark, tmp_path):
-    import shutil
-
-    sf = str(tmp_path)
-    spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{sf}/documents.parquet")
-    shutil.copy("/root/testdata/sf0.001/labels.parquet", f"{sf}/labels.parquet")
+def run_stages(spark, sf):
+    """The rows of the documents and of every stage after them."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    out = [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, sf), name)
-        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert {r.doc_id for r in docs.collect()} <= {4, 8}
+        out.append(docs.collect())
+        if name != "packing":
+            assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    return out
+
+
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
+    import shutil
+
+    for n, rows in enumerate((ROWS, [])):
+        sf = str(tmp_path / str(n))
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{sf}/documents.parquet")
+        shutil.copy("/root/testdata/sf0.001/labels.parquet", f"{sf}/labels.parquet")
+        *_, mixed, packed = run_stages(spark, sf)
+        assert {r.doc_id for r in mixed} <= {4, 8} and {r.doc_id for r in packed} == {r.doc_id for r in mixed}
+        assert bool(mixed) == bool(rows)
+
+
+def test_every_pipeline_stage_against_plain_versions(spark):
+    from tests.llm.test_queries import assert_packed
+
+    sf = "/root/testdata/sf0.001"
+    documents, good, unique, cut, mixed, packed = run_stages(spark, sf)
+    counts = {r.doc_id: brute.counts(r.text) for r in documents}
+    verdict = {r.doc_id: r.kept for r in queries.op2_quality_rules(spark, sf).collect()}
+    assert {r.doc_id for r in good} == {i for i, kept in verdict.items() if kept}
+    assert all(n >= 20 and 100 * repeated <= 30 * n for n, *_, repeated in (counts[r.doc_id] for r in good))
+    near = brute.near([(r.doc_id, r.text) for r in good], 5)
+    assert {r.doc_id for r in unique} == {i for i, (_, component) in near.items() if i == component}
+    want = brute.cut([(r.doc_id, r.text) for r in unique])
+    text = {r.doc_id: r.text for r in unique}
+    assert {r.doc_id for r in cut} == set(text)
+    for r in cut:
+        words, gone, _ = want[r.doc_id]
+        assert len(brute.words(r.text)) == words - gone and r.n_chars == len(r.text) and (gone or r.text == text[r.doc_id])
+    assert {tuple(r) for r in mixed} <= {tuple(r) for r in cut}
+    words = lambda rows: sum(len(brute.words(r.text)) for r in rows)
+    assert 0.6 * words(cut) < words(mixed) < 0.95 * words(cut)
+    assert_packed(packed, [(r.doc_id, r.text) for r in mixed])
