@@ -1,6 +1,9 @@
 """The corpus pipeline: documents through quality rules, near-dedup, substring dedup, mixing and packing.
 
-Every stage gets all that the one before it kept, written as Parquet in the shared folder and read again.
+Every stage gets all that the one before it kept, written as Parquet in the shared folder and read again.  Null and empty
+texts, repeated rows and empty tables pass through every stage; rows with a null doc_id are judged by themselves and kept.
+Documents are some kilobytes each, so the stages that use Python ask for batches of ``BATCH`` rows, unless the session
+has a number of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +14,16 @@ from pyspark.sql import functions as F
 from quern.llm import common, mixing, neardup, packing, quality_rules, queries, substrings
 
 
+#: Rows of a batch that goes to a Python worker, and Spark's own number.
+BATCH, DEFAULT = 1000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT:
+        spark.conf.set(name, str(BATCH))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base check nor a learned rule rejects."""
     judged = quality_rules.judged(docs, common.table(spark, sf_dir, "labels"))
@@ -19,22 +32,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8): that of the smallest doc_id."""
+    small_batches(spark)
     return neardup.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars is that of the text left."""
+    small_batches(spark)
     d = substrings.cut(docs)
     return d.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens are raked to smoothed shares of source, language and topic."""
+    small_batches(spark)
     return mixing.sampled(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.packed(docs, queries.tokenizer("word_bpe_49k.json"))
 
 
