@@ -38,6 +38,8 @@ from quern.llm.bytes import Block, mix
 LEAST, DEPTH, INSIDE, TOP = 30, 4, 80, 2000
 #: Words of a shard, bytes of a text that are split at once.
 SHARD, PART = 1 << 17, 1 << 22
+#: Shards whose counts a task adds up before they are dealt out, where most phrases are met again (about 100 MB of text).
+GATHERED = 128
 #: Bits of the hashes that are counted, bits of a sieve (8 MB) as a power of two, words of the longest hashed phrases.
 HASH_BITS, BITS, HASHED = 40, 26, 3
 
@@ -285,14 +287,18 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, depth: int = DEPT
     """
     d = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
     d = common.written(d.mapInArrow(shard_rows(depth), "lang string, carried int, ids binary, names binary"), "shards")
-    share = documents.sparkSession.sparkContext.broadcast
+    context = documents.sparkSession.sparkContext
+    share = context.broadcast
+    # what is frequent is in every task's counts, so fewer tasks send less; most pairs are met once, whatever the task
+    gathered = d.coalesce(max(context.defaultParallelism, -(-d.count() // GATHERED)))
     sieves: list = []
     useful = None
     for k in range(1, min(HASHED, depth) + 1):
-        passing, marked = sieves_of(d.mapInArrow(hash_counts(k, list(sieves)), "hash long, n long"), least, bits)
+        counts = (d if k == 2 else gathered).mapInArrow(hash_counts(k, list(sieves)), "hash long, n long")
+        passing, marked = sieves_of(counts, least, bits)
         sieves.append(share(passing))
         useful = share(marked) if k == 3 else None
-    counts = d.mapInArrow(phrase_counts(sieves, useful, depth), "lang string, phrase string, words long, n long")
+    counts = gathered.mapInArrow(phrase_counts(sieves, useful, depth), "lang string, phrase string, words long, n long")
     counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))
     return common.written(counts, "phrases")
 
