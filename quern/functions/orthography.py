@@ -15,8 +15,11 @@ GRAPHEMES = (
     "zvw", "tshw", "tsh", "mbw", "vw", "ty", "ph", "nk", "bh", "dh", "dw", "rw", "zhw", "nhw", "chw", "dyw",
 )
 # Cyrillic letters and the Latin letters they look like.
-CYRILLIC = "аеорсухіАВЕКМНОРСТУХкмнт"
-LATIN = "aeopcuxiABEKMHOPCTUXkmht"
+LOOKALIKES = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "u", "х": "x", "і": "i", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H",
+    "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "U", "Х": "X", "к": "k", "м": "m", "н": "h", "т": "t",
+}
+CYRILLIC, LATIN = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
 MARKERS = "†*-"
 
 #: Longest first; any other character stands for itself.
@@ -25,8 +28,52 @@ SYLLABLE = r"(?s)([^aeiou]*[aeiou](?:[^aeiou]+$)?|[^aeiou]+)"
 _END = "\x01"
 
 
+def _folds() -> tuple[dict[str, str], set[str]]:
+    """Letters with what full case folding makes of them, and those for which lower case is another thing (or depends on the word)."""
+    letters = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    folds = {c: c.casefold() for c in letters if c.casefold() != c}
+    other = {c for c in letters if c.casefold() != c.lower()} | {c for c in folds if ord(c) >= 0x530} | set("Σİ")
+    return folds, other
+
+
+def _ranges(letters: set[str]) -> list[tuple[int, int]]:
+    parts: list[tuple[int, int]] = []
+    for p in sorted(map(ord, letters)):
+        if parts and p == parts[-1][1] + 1:
+            parts[-1] = parts[-1][0], p
+        else:
+            parts.append((p, p))
+    return parts
+
+
+def _class(parts: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in parts)
+
+
+def _plain(letters: set[str], least: int = 500) -> list[tuple[int, int]]:
+    """Where none of the letters is: below the first thousands every stretch, above them long ones only."""
+    gaps, at = [], 0
+    for a, b in [*_ranges(letters), (0x110000, 0)]:
+        if a > at and (at < 0x530 or a - at >= least):
+            gaps.append((at, a - 1))
+        at = b + 1
+    return gaps
+
+
+_FOLDS, _OTHER = _folds()
+_LONGER = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+_ALIKE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_OTHER_CLASS, _LONGER_CLASS = f"[{_class(_ranges(_OTHER))}]", f"[{_class(_ranges(set(_LONGER)))}]"
+#: A first look that most texts end at: a letter outside the stretches without such letters.
+_UNUSUAL = f"[^{_class(_plain(_OTHER))}]"
+
+
 def casefold(x: Column) -> Column:
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, but for texts with letters that fold to something else, or to several letters."""
+    alike = F.translate(x, "".join(_ALIKE), "".join(_ALIKE.values()))
+    longer = F.create_map(*[F.lit(v) for p in _LONGER.items() for v in p])
+    several = F.array_join(F.transform(F.regexp_extract_all(alike, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(longer, c), c)), "")
+    return F.when(x.rlike(_UNUSUAL) & x.rlike(_OTHER_CLASS), F.when(x.rlike(_LONGER_CLASS), several).otherwise(alike)).otherwise(F.lower(x))
 
 
 def normalized(x: Column) -> Column:
@@ -86,3 +133,9 @@ def pattern_bounds(pattern: str) -> tuple[int, int | None]:
 
 def matches(x: Column, pattern: str) -> Column:
     return F.concat(F.array_join(graphemes(x), _END), F.lit(_END)).rlike(pattern_regex(pattern))
+
+
+def pattern_bounds_of(x: Column) -> tuple[Column, Column]:
+    """Fewest and most graphemes that a pattern matches: ? is one, * any number (then there is no most)."""
+    low = F.size(F.filter(graphemes(casefold(x)), lambda g: g != "*"))
+    return low, F.when(~F.contains(x, F.lit("*")), low)

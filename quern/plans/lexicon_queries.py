@@ -31,19 +31,24 @@ def s22_coverage_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("p_partkey", "words", "letters", ((F.col("g") < F.col("words")) & uneven).alias("uncovered"))
 
 
-BRACKETS = "(1, '[H M; LHLH Z]', 'KMZ'), (2, '[LL]', 'KMZ'), (3, '[HHHL]', 'KKoZ'), (4, '[L Ko]', 'M'), (5, '[]', 'K'), (6, '[H X; L K]', 'Z'), (7, '[LH]', 'of it')"
+# A tone bracket of one or two patterns with dialects, and its entry's dialects, from the columns of a part.
+TONES = {
+    "a": "CASE p_partkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'LH' ELSE 'HHL' END", "da": "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'M' WHEN 2 THEN 'KKoZ' ELSE 'of' END",
+    "two": "p_size % 3 = 0", "entry": "CASE p_partkey % 5 WHEN 0 THEN 'K' WHEN 1 THEN 'KMZ' WHEN 2 THEN 'of it' WHEN 3 THEN '' ELSE 'Ko' END",
+}
+_BRACKET = "'[' || a || CASE WHEN da <> '' THEN ' ' || da ELSE '' END || CASE WHEN two THEN ' ;  LL Z;' ELSE '' END || ']'"
 
 
 @query(
     "j06_tone_parse",
-    f"""WITH b AS (SELECT id, entry, list_filter(list_transform(string_split(regexp_replace(bracket, '[\\[\\]]', '', 'g'), ';'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM (VALUES {BRACKETS}) t(id, bracket, entry)),
-    p AS (SELECT id, entry, len(parts) AS n, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS part FROM b),
-    d AS (SELECT *, regexp_extract(part, '^\\S+\\s+(.*)$', 1) AS own FROM p),
-    f AS (SELECT *, CASE WHEN regexp_matches(own, '^(?:{labels.DIALECTS})+$') THEN own WHEN n = 1 AND regexp_matches(entry, '^(?:{labels.DIALECTS})+$') THEN entry ELSE '' END AS run FROM d)
-    SELECT CAST(id AS INTEGER) AS id, CAST(i AS BIGINT) AS place, split_part(part, ' ', 1) AS pattern, array_to_string(regexp_extract_all(run, '{labels.DIALECTS}'), ',') AS dialects FROM f""",
+    f"""WITH t AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in TONES.items())} FROM part), d(run, dialects) AS (VALUES ('M', 'M'), ('K', 'K'), ('Ko', 'Ko'), ('KKoZ', 'K,Ko,Z'), ('KMZ', 'K,M,Z'), ('Z', 'Z'))
+    SELECT p_partkey AS id, 1::BIGINT AS place, a AS pattern, coalesce(own.dialects, CASE WHEN NOT two THEN whole.dialects END, '') AS dialects FROM t LEFT JOIN d own ON own.run = da LEFT JOIN d whole ON whole.run = entry
+    UNION ALL SELECT p_partkey, 2, 'LL', 'Z' FROM t WHERE two""",
 )
 def j06_tone_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = inline(spark, BRACKETS, "id, bracket, entry").select("id", F.posexplode(labels.tones(F.col("bracket"), F.col("entry"))).alias("i", "t"))
+    """Patterns and dialects of a bracket composed from columns; a lone pattern without dialects has those of its entry."""
+    t = table(spark, sf_dir, "part").withColumns({k: F.expr(v) for k, v in TONES.items()})
+    b = t.select(F.col("p_partkey").alias("id"), F.posexplode(labels.tones(F.expr(_BRACKET), F.col("entry"))).alias("i", "t"))
     return b.select("id", (F.col("i") + 1).cast("long").alias("place"), "t.pattern", F.array_join("t.dialects", ",").alias("dialects"))
 
 
@@ -252,39 +257,43 @@ def c13_conflict_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(noted, "p_partkey", "left_anti")
 
 
-BASELINE = "('headword', 322, 324), ('word_class', 324, 324), ('plural', 36, 42), ('label', 323, 324), ('tone', 324, 324)"
-NOW = "('headword', 323, 324), ('word_class', 320, 324), ('plural', 36, 40), ('label', 323, 324), ('class', 112, 112)"
-
-
 @query(
     "wn10_regressions",
-    f"""WITH b(metric, was, was_of) AS (VALUES {BASELINE}), n(metric, now, now_of) AS (VALUES {NOW})
-    SELECT metric, CAST(was AS INTEGER) AS was, CAST(now AS INTEGER) AS now, CASE WHEN now IS NULL THEN 'missing' WHEN was_of <> now_of THEN 'denominator' ELSE 'fell' END AS fault
-    FROM b LEFT JOIN n USING (metric) WHERE now IS NULL OR was_of <> now_of OR now < was""",
+    """WITH m AS (SELECT p_brand AS metric, p_partkey % 2 = 0 AS before, count(*) FILTER (p_size >= 25) AS passed, count(*) FILTER (p_size > 3) // 8 AS of FROM part WHERE p_partkey % 2 = 0 OR p_brand <> 'Brand#7' GROUP BY 1, 2)
+    SELECT b.metric, b.passed AS was, n.passed AS now, CASE WHEN n.metric IS NULL THEN 'missing' WHEN b.of <> n.of THEN 'denominator' ELSE 'fell' END AS fault
+    FROM (SELECT * FROM m WHERE before) b LEFT JOIN (SELECT * FROM m WHERE NOT before) n USING (metric) WHERE n.metric IS NULL OR b.of <> n.of OR n.passed < b.passed""",
 )
 def wn10_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics against a frozen baseline: none may be missing, change its denominator or fall."""
-    j = inline(spark, BASELINE, "metric, was, was_of").join(inline(spark, NOW, "metric, now, now_of"), "metric", "left")
+    """Metrics (by brand, of the odd parts) against a baseline (of the even ones): none may be missing, change its denominator or fall."""
+    p = table(spark, sf_dir, "part").withColumn("before", F.col("p_partkey") % 2 == 0).where("before OR p_brand <> 'Brand#7'")
+    m = p.groupBy(F.col("p_brand").alias("metric"), "before").agg(F.count_if(F.col("p_size") >= 25).alias("passed"), F.floor(F.count_if(F.col("p_size") > 3) / 8).alias("of"))
+    was = m.where("before").select("metric", F.col("passed").alias("was"), F.col("of").alias("was_of"))
+    now = m.where("NOT before").select("metric", F.col("passed").alias("now"), F.col("of").alias("now_of"))
     fault = F.when(F.col("now").isNull(), "missing").when(F.col("was_of") != F.col("now_of"), "denominator").when(F.col("now") < F.col("was"), "fell")
-    return j.select("metric", "was", "now", fault.alias("fault")).where("fault IS NOT NULL")
+    return was.join(now, "metric", "left").select("metric", "was", "now", fault.alias("fault")).where("fault IS NOT NULL")
 
 
-# headword, class, recorded plural; surface, basis, kind and code that must come out
-NOUNS = """('banga', '5', 'map-', 'mapanga', 'allomorph_prefix', 'standard', NULL), ('gwai', '5', 'makw-', 'makwai', 'allomorph_prefix', 'standard', NULL),
-('biku', '5', 'mab- (M)', 'mabiku', 'literal_prefix', 'standard', NULL), ('dhibha', '5', 'madhi-', 'madhibha', 'literal_prefix', 'standard', NULL),
-('gomo', '5', 'mak- KZ', 'makomo', 'allomorph_prefix', 'standard', NULL), ('mukadzi', '1', 'vak-', 'vakadzi', 'literal_prefix', 'standard', NULL),
-('chigaro', '7', 'zvig-', 'zvigaro', 'literal_prefix', 'standard', NULL), ('sekuru', '1a', 'vana-', 'vanasekuru', 'prefix_plus_stem', 'honorific', NULL),
-('ziso', '5', 'meso', 'meso', 'recorded_form', 'standard', NULL), ('ruvi', '11', 'maruvi (Z)', 'maruvi', 'recorded_form', 'standard', NULL),
-('hamburo', '9', 'mhamburo 10 k', 'mhamburo', 'recorded_form', 'standard', NULL), ('bhamadza', '5', 'map-', NULL, NULL, NULL, 'PLURAL_ALLOMORPH_UNVERIFIED'),
-('banga', '5', 'zvi-', NULL, NULL, NULL, 'PLURAL_ALLOMORPH_UNVERIFIED'), ('banga', '1', 'va-', NULL, NULL, NULL, 'PLURAL_ALLOMORPH_UNVERIFIED'),
-('mu', '1', 'va-', NULL, NULL, NULL, 'PLURAL_EMPTY_STEM'), ('mafuta', '6', 'mab-', NULL, NULL, NULL, 'PLURAL_CLASS_UNVERIFIED'),
-('imba', '9', 'maNg-', NULL, NULL, NULL, 'PLURAL_NASAL_PLACEHOLDER'), ('jahwi', '5', 'of jahwi q', NULL, NULL, NULL, 'PLURAL_NOT_A_PREFIX'),
-('moyo', '3', '', NULL, NULL, NULL, 'NO_RECORDED_PLURAL'), ('moyo', '3', NULL, NULL, NULL, NULL, 'NO_RECORDED_PLURAL')"""
-_NOUN = "headword, noun_class, recorded, surface, basis, kind, code"
+# Of a part: a stem, and by its key how class, headword and recorded plural are made of it.
+_NOUNS = {
+    "w": "split_part(p_name, ' ', 1)", "h": "left(split_part(p_name, ' ', 1), 1)",
+    "noun_class": "CASE p_partkey % 11 WHEN 0 THEN '7' WHEN 1 THEN '7' WHEN 2 THEN '1' WHEN 3 THEN '1a' WHEN 4 THEN '5' WHEN 5 THEN '3' WHEN 6 THEN '6' WHEN 7 THEN '7' WHEN 8 THEN '7' WHEN 9 THEN '1' ELSE '9' END",
+    "headword": "CASE p_partkey % 11 WHEN 0 THEN 'chi' || w WHEN 1 THEN 'chi' || w WHEN 2 THEN 'mu' || w WHEN 7 THEN 'chiN' || w WHEN 8 THEN 'chi' WHEN 9 THEN w ELSE w END",
+    "recorded": "CASE p_partkey % 11 WHEN 0 THEN 'zvi-' WHEN 1 THEN 'zvi' || h || '- (M)' WHEN 2 THEN 'va' || h || '-' WHEN 3 THEN 'vana-' WHEN 4 THEN 'ma' || w || ' (Z)' WHEN 5 THEN '' WHEN 6 THEN 'mab-' WHEN 7 THEN 'zvi-' WHEN 8 THEN 'zvi-' WHEN 9 THEN 'va-' ELSE 'of ' || w || ' x' END",
+}
 
 
-@query("pl01_plurals", f"SELECT * FROM (VALUES {NOUNS}) t({_NOUN})")
+@query(
+    "pl01_plurals",
+    f"""WITH n AS (SELECT p_partkey, {", ".join(f"{v} AS {k}" for k, v in _NOUNS.items() if k in "wh")} FROM part), m AS (SELECT *, p_partkey % 11 AS r, {", ".join(f"{v} AS {k}" for k, v in _NOUNS.items() if k not in "wh")} FROM n)
+    SELECT p_partkey, headword, noun_class, recorded, CASE WHEN r IN (0, 1) THEN 'zvi' || w WHEN r = 2 THEN 'va' || w WHEN r = 3 THEN 'vana' || w WHEN r = 4 THEN 'ma' || w END AS surface,
+      CASE r WHEN 0 THEN 'prefix_plus_stem' WHEN 1 THEN 'literal_prefix' WHEN 2 THEN 'literal_prefix' WHEN 3 THEN 'prefix_plus_stem' WHEN 4 THEN 'recorded_form' END AS basis,
+      CASE WHEN r = 3 THEN 'honorific' WHEN r < 5 THEN 'standard' END AS kind,
+      CASE r WHEN 5 THEN 'NO_RECORDED_PLURAL' WHEN 6 THEN 'PLURAL_CLASS_UNVERIFIED' WHEN 7 THEN 'PLURAL_NASAL_PLACEHOLDER' WHEN 8 THEN 'PLURAL_EMPTY_STEM' WHEN 9 THEN 'PLURAL_ALLOMORPH_UNVERIFIED' WHEN 10 THEN 'PLURAL_NOT_A_PREFIX' END AS code FROM m""",
+)
 def pl01_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plurals of known nouns, or the code of what forbids one; the SQL states the known answers."""
-    n = inline(spark, NOUNS, _NOUN).select("headword", "noun_class", "recorded")
-    return n.select("*", plurals.derived(F.col("headword"), F.col("noun_class"), F.col("recorded")).alias("d")).select("headword", "noun_class", "recorded", "d.*")
+    """Plurals of nouns composed from the parts, or the code of what forbids one."""
+    d = table(spark, sf_dir, "part")
+    for name, sql in _NOUNS.items():
+        d = d.withColumn(name, F.expr(sql))
+    d = d.withColumn("d", plurals.derived(F.col("headword"), F.col("noun_class"), F.col("recorded")))
+    return d.select("p_partkey", "headword", "noun_class", "recorded", "d.*")

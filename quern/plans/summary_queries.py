@@ -178,10 +178,15 @@ def s07_word_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("10 * shared >= 3 * either").select("q", "p_name", "shared", "either")
 
 
-@query("s10_pattern_bounds", "SELECT p, low, high FROM (VALUES ('s?a*', 3, NULL), ('chi??', 4, 4), ('*', 0, NULL), ('nzvimbo', 4, 4)) t(p, low, high)")
+_PATTERN = "CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '?') WHEN 1 THEN upper(replace(p_name, ' ', '*')) WHEN 2 THEN '*' || left(p_name, 2) || '??' ELSE 'ngw' || replace(p_name, ' ', 'sh') END"
+
+
+@query("s10_pattern_bounds", f"SELECT p_partkey, p, len(list_filter(regexp_extract_all(lower(p), '{ort.GRAPHEME}', 1), lambda g: g <> '*'))::INTEGER AS low, CASE WHEN NOT contains(p, '*') THEN len(regexp_extract_all(lower(p), '{ort.GRAPHEME}', 1))::INTEGER END AS high FROM (SELECT p_partkey, {_PATTERN} AS p FROM part)")
 def s10_pattern_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many graphemes a pattern matches: known answers."""
-    return spark.createDataFrame([(p, *ort.pattern_bounds(p)) for p in ("s?a*", "chi??", "*", "nzvimbo")], "p string, low int, high int")
+    """How many graphemes a pattern composed from a part's name can match."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PATTERN).alias("p"))
+    low, high = ort.pattern_bounds_of(F.col("p"))
+    return p.select("p_partkey", "p", low.alias("low"), high.alias("high"))
 
 
 @query("s12_public_id", """WITH h AS (SELECT p_partkey, md5('u' || p_partkey) AS h FROM part), b AS (SELECT p_partkey, h, array_to_string(list_transform(generate_series(1, 32), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][CAST(strpos('0123456789abcdef', substr(h, i, 1)) AS BIGINT)]), '') || '00' AS bits FROM h)
