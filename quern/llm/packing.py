@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytes import blocks
-from quern.llm.tokens import pieces
+from quern.llm.tokens import POOL, pieces
 
 BLOCK_IDS, PROMPT_EVERY = 400_000, 8
 
@@ -185,12 +185,16 @@ SCHEMA = (
 
 
 def packed(
-    documents: DataFrame, path: str, end_id: int = 1, limits: Limits = DOCUMENTS, block_ids: int = BLOCK_IDS
+    documents: DataFrame, path: str, end_id: int = 1, limits: Limits = DOCUMENTS, block_ids: int = BLOCK_IDS, remembered: int = POOL
 ) -> DataFrame:
-    """The pieces of all documents with the sequence and the offset where each lies."""
+    """The pieces of all documents with the sequence and the offset where each lies.
+
+    ``remembered``: ids of pieces that a worker keeps, so that it need not encode these again.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces(path, lead=False)
+        encoder.MOST = remembered
         sequence_id = TaskContext.get().partitionId() << 40
         names: list = []
         prompts: list[int] = []

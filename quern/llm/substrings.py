@@ -380,15 +380,18 @@ def spans_of(paths: DataFrame, texts: DataFrame) -> DataFrame:
     return spans.where("digest IS NOT NULL")
 
 
-def cut(documents: DataFrame, keep_text: bool = True) -> DataFrame:
+def cut(documents: DataFrame, keep_text: bool = True, staged: bool = False) -> DataFrame:
     """``documents`` (all their columns) without passages that an earlier one has.
 
     Adds n_words, n_removed and kept_sha256 (of the kept words joined by one space).  Where words go, ``text`` becomes
-    the kept words joined by one space, elsewhere it stays; ``keep_text=False`` leaves the column out.
+    the kept words joined by one space, elsewhere it stays; ``keep_text=False`` leaves the column out.  ``staged`` writes the
+    compressed texts as a table: more disk, but no task feeds one Python worker from another, so half as many are held.
     """
     added = ("n_words", "n_removed", "kept_sha256", "z", "spans", "__paths")
     documents = documents.select(*[c for c in documents.columns if c.lower() not in added])
     texts = compressed(documents)
+    if staged:
+        texts = common.written(texts, "compressed")
     paths = repeated_paths(documents, texts)
     spans = spans_of(paths, texts).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "words", "digest"))).alias("spans")
