@@ -16,6 +16,8 @@ from quern.llm import common, mixing, neardup, packing, quality_rules, queries,
 
 #: Rows of a batch that goes to a Python worker, and Spark's own number.
 BATCH, DEFAULT = 1000, "10000"
+#: Ids of pieces that a worker keeps while it packs: workers of the stages before it may be alive beside it.
+REMEMBERED = 4_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -39,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars is that of the text left."""
     small_batches(spark)
-    d = substrings.cut(docs)
+    d = substrings.cut(docs, staged=True)
     return d.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -52,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
     small_batches(spark)
-    return packing.packed(docs, queries.tokenizer("word_bpe_49k.json"))
+    return packing.packed(docs, queries.tokenizer("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
