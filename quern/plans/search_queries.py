@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import learning
-from quern.operators import cascade, replay
+from quern.operators import cascade, evaluation, replay
 from quern.plans import analysis_queries as verbs
 from quern.plans.base import query, table
 from quern.sources import jsonl
@@ -123,3 +123,55 @@ def c04_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [F.struct(F.replace(F.replace(F.lit(t), F.lit("{a}"), F.col("headword")), F.lit("{i}"), F.concat(e, F.lit("i"))).alias("form"), F.lit(k).alias("kind")) for t, k in _LISTED]
     forms = lex.select("entry", "headword", F.explode(F.array(*made)).alias("f")).select("entry", "headword", "f.*")
     return replay.replayed(forms, lex)
+
+
+_ASKED_FORMS = r"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents), entries AS (SELECT w AS entry, lower(w) AS headword FROM words WHERE regexp_matches(w, '^[A-Za-z]+(a|ti)$'))
+    SELECT 'ndino' || headword AS surface FROM entries UNION SELECT 'hativa' || regexp_replace(headword, 'a$', 'i') FROM entries WHERE headword <> 'na' AND headword NOT LIKE 'a%'"""
+
+
+@query(
+    "c15_evaluation",
+    rf"""WITH {_DICTIONARY}, r AS (SELECT * FROM ({verbs._readings_sql(_ASKED_FORMS)})),
+    a AS (SELECT 'finite' AS category, entry, headword, 'ndino' || headword AS form, NULL AS refusal, length(headword) % 5 <> 0 AS ok FROM entries
+      UNION ALL SELECT 'object', entry, headword, CASE WHEN headword <> 'na' AND headword NOT LIKE 'a%' THEN 'hativa' || regexp_replace(headword, 'a$', 'i') END,
+        CASE WHEN headword = 'na' THEN 'defective_pro_verb_stem' WHEN headword LIKE 'a%' THEN 'object_before_a_initial_stem' END, NOT (length(headword) % 7 = 0 AND (headword = 'na' OR headword LIKE 'a%')) FROM entries),
+    m AS (SELECT category, a.entry, form, ok,
+      count(*) FILTER (category = 'finite' AND r.entry = a.entry AND subject_features = '1s' AND object IS NULL AND extensions = '') > 0 AS q1,
+      count(*) FILTER (category = 'finite' AND lane = 'positive' AND stem = a.headword) > 0 AS q2, count(*) FILTER (category = 'object' AND object = 'va') > 0 AS q3,
+      count(*) FILTER (category = 'finite' AND lane = 'negative') > 0 AS p1, count(*) FILTER (category = 'finite' AND r.headword = a.headword AND polarity = 'positive') > 0 AS p2, count(*) FILTER (r.entry = a.entry) > 0 AS back
+      FROM a LEFT JOIN r ON surface = form GROUP BY ALL),
+    s AS (SELECT category, count(*) AS n, count(*) FILTER (ok) AS gen, count(*) FILTER (q1) + count(*) FILTER (q2) + count(*) FILTER (q3) AS req, count(*) FILTER (p1) + count(*) FILTER (p2) AS pro,
+      count(*) FILTER (form IS NOT NULL) AS made, count(*) FILTER (form IS NOT NULL AND back) AS back FROM m GROUP BY 1)
+    SELECT category, 'generation' AS measure, gen AS passed, n AS of FROM s
+    UNION ALL SELECT category, 'required_recall', req, CASE category WHEN 'finite' THEN 2 * n ELSE n END FROM s
+    UNION ALL SELECT category, 'prohibited_absent', CASE category WHEN 'finite' THEN 2 * n ELSE 0 END - pro, CASE category WHEN 'finite' THEN 2 * n ELSE 0 END FROM s
+    UNION ALL SELECT category, 'round_trip', back, made FROM s""",
+)
+def c15_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of every entry, some with wrong expectations, through generation and analysis: what was met of what they declare."""
+    lex = jsonl.kept(verbs.entries(verbs.spelled(spark, sf_dir)), "entries")
+    no, text = F.lit(False), lambda x: F.lit(x).cast("string")
+    size = F.length("headword")
+    i = F.regexp_replace("headword", "a$", "i")
+    barred = F.when(F.col("headword") == "na", "defective_pro_verb_stem").when(F.col("headword").startswith("a"), "object_before_a_initial_stem")
+    js = lambda **x: F.to_json(F.struct(*[v.alias(k) for k, v in x.items()]), {"ignoreNullFields": "false"})
+    s = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
+    common = {"entry": F.col("entry"), "headword": F.col("headword"), "mode": F.lit("finite"), "plural": no, "reflexive": no}
+    finite = common | {
+        "category": F.lit("finite"), "negative": no, "subject": F.lit("ndi"), "object": text(None),
+        "expected_surface": F.concat(F.lit("ndino"), "headword", F.when(size % 5 == 0, "x").otherwise("")), "expected_refusal": text(None),
+        "required": F.array(
+            js(lemma=s(id=F.col("entry")), slots=s(subject=s(features=F.lit("1s")), object=text(None), extensions=F.array().cast("array<string>"))),
+            js(analysis_type=F.lit("positive"), slots=s(verb_stem=F.col("headword"))),
+        ),
+        "prohibited": F.array(js(analysis_type=F.lit("negative")), js(lemma=s(headword=F.col("headword")), slots=s(polarity=F.lit("positive")))),
+    }
+    with_object = common | {
+        "category": F.lit("object"), "negative": F.lit(True), "subject": F.lit("ti"), "object": F.lit("va"),
+        "expected_surface": F.when(barred.isNull(), F.concat(F.lit("hativa"), i)), "expected_refusal": F.when(size % 7 != 0, barred),
+        "required": F.array(js(slots=s(object=s(surface=F.lit("va")), number=text(None)))), "prohibited": F.array().cast("array<string>"),
+    }
+    names = [c.split()[0] for c in evaluation.CASE.split(", ") if not c.startswith("case_id")]
+    both = F.array(*[F.struct(*[c[n].alias(n) for n in names]) for c in (finite, with_object)])
+    cases = lex.select(F.explode(both).alias("c")).select(F.xxhash64("c.category", "c.entry").alias("case_id"), "c.*")
+    return evaluation.measured(evaluation.evaluated(cases, lex.select("headword", "entry")))
