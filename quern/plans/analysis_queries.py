@@ -360,11 +360,17 @@ def mo18_extension_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", code.alias("code"))
 
 
-@query("mo20_version_gate", "SELECT source, CASE WHEN count(*) % 2 = 0 THEN 'v6' ELSE 'v5' END AS version, count(*) % 2 = 0 AS allowed FROM documents GROUP BY 1")
+#: The version of the rules that is carried out.
+VERSION = "v6"
+
+
+@query("mo20_version_gate", r"SELECT source, version, version = 'v6' AS allowed, CASE WHEN version <> 'v6' THEN 'declares ' || version || ', implemented is v6' END AS fault, count(*) AS documents FROM (SELECT source, 'v' || (regexp_extract(source, '(\d+)$', 1)::INTEGER % 4 + 4) AS version FROM documents) GROUP BY ALL")
 def mo20_version_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the current version of the rules is carried out."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.when(F.count("*") % 2 == 0, "v6").otherwise("v5").alias("version"))
-    return d.withColumn("allowed", F.col("version") == "v6")
+    """Each release (a source, whose number says which rules it declares) against the version that is carried out."""
+    declared = F.concat(F.lit("v"), (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 4 + 4).cast("string"))
+    d = table(spark, sf_dir, "documents").groupBy("source", declared.alias("version")).agg(F.count("*").alias("documents"))
+    fault = F.when(F.col("version") != VERSION, F.concat(F.lit("declares "), "version", F.lit(f", implemented is {VERSION}")))
+    return d.select("source", "version", (F.col("version") == VERSION).alias("allowed"), fault.alias("fault"), "documents")
 
 
 @query("mo21_rules", f"WITH {_LEXICON}, {_DERIVED} SELECT types, count(*) AS forms, 'rule.' || replace(types, ',', ' rule.') AS rules FROM d GROUP BY 1")

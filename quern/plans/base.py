@@ -21,7 +21,7 @@ class Query:
 _FOUND: dict[str, Query] = {}
 _MODULES: tuple[str, ...] = tuple(
     f"quern.plans.{m}"
-    for m in ("text_queries", "relational_queries", "lexicon_queries", "verb_queries", "entry_queries", "filter_queries", "summary_queries", "scan_queries", "analysis_queries", "search_queries", "promotion_queries", "request_queries")
+    for m in ("text_queries", "relational_queries", "lexicon_queries", "verb_queries", "entry_queries", "filter_queries", "summary_queries", "scan_queries", "analysis_queries", "search_queries", "promotion_queries", "request_queries", "annotation_queries")
 )
 
 

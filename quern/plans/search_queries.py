@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import learning
-from quern.operators import cascade, evaluation, replay
+from quern.operators import cascade, evaluation, related, replay
 from quern.plans import analysis_queries as verbs
 from quern.plans.base import query, table
 from quern.sources import jsonl
@@ -175,3 +175,16 @@ def c15_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.array(*[F.struct(*[c[n].alias(n) for n in names]) for c in (finite, with_object)])
     cases = lex.select(F.explode(both).alias("c")).select(F.xxhash64("c.category", "c.entry").alias("case_id"), "c.*")
     return evaluation.measured(evaluation.evaluated(cases, lex.select("headword", "entry")))
+
+
+@query(
+    "c15b_related",
+    rf"""WITH {_DICTIONARY}, x AS (SELECT role AS kind, conv_id * 100 + turn AS id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS entry FROM conversations WHERE role <> 'system')
+    SELECT entry, kind, id, false AS failed FROM x WHERE entry IN (SELECT entry FROM entries) UNION ALL SELECT DISTINCT NULL, role, NULL::BIGINT, true FROM conversations WHERE role = 'system'""",
+)
+def c15b_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as expressions that link the entries they name; one kind is unreadable and fails alone."""
+    c = table(spark, sf_dir, "conversations")
+    linked = F.when((F.col("role") == "system") & (F.col("turn") == 0), "[broken").otherwise(F.to_json(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))))
+    e = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("kind"), linked.alias("linked"))
+    return related.related(e, verbs.entries(verbs.spelled(spark, sf_dir)))
