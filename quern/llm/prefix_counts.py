@@ -7,7 +7,11 @@ a few look-ups, however long the run is; no prefix is encoded.  Whether two toke
 for each pair.
 
 ``Scan`` holds the state after every character of a text, and takes characters back as well: composed forms (NFC) of a
-prefix may differ from the prefix of the composed text, and then only the last cluster is read again.
+prefix may differ from the prefix of the composed text, and then only the last cluster is read again.  A mark that only
+follows another of its class changes nothing before it and is read by itself, so long rows of marks cost no more than text.
+
+The rules of the vocabulary's file are those of ``SETTINGS``; a file with others is refused.  A word whose count the library
+gives otherwise (another edition of Unicode) is counted by the library at every prefix, so its counts still agree.
 """
 
 from __future__ import annotations
@@ -29,6 +33,22 @@ SHORT_TWO, SHORT_THREE = ("s", "t", "m", "d"), ("re", "ve", "ll")
 RUN = regex.compile(rf"('(?:s|t|re|ve|m|ll|d))|\p{{L}}+|\p{{N}}|[^{''.join(sorted(SPACES))}\p{{L}}\p{{N}}]+")
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 WORD_END = "</w>"
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "added_tokens": ["<|startoftext|>", "<|endoftext|>"],
+}
+MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": WORD_END, "fuse_unk": False,
+    "byte_fallback": False, "ignore_merges": False,
+}
 USUAL = 4
 
 BLANK, CLOSED, LETTERS, OTHERS, NUMBER = range(5)
@@ -59,6 +79,16 @@ def kind_of(c: str) -> int:
     return {"L": LETTERS, "N": NUMBER}.get(unicodedata.category(c)[0], OTHERS)
 
 
+def check_settings(file: dict) -> None:
+    """Refuses a vocabulary whose texts are split, folded or merged by other rules than those that are carried out here."""
+    special = [t["content"] for t in file["added_tokens"] if not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
+    got = {k: file.get(k) for k in SETTINGS} | {"added_tokens": special if len(special) == len(file["added_tokens"]) else None}
+    model = {k: v for k, v in file["model"].items() if k not in ("vocab", "merges")}
+    for name, value, want in [*((k, got[k], SETTINGS[k]) for k in SETTINGS), ("model", model, MODEL)]:
+        if value != want:
+            raise ValueError(f"the vocabulary's {name} is {value}; counts at prefixes are made for {want}")
+
+
 class _Merges:
     """The tokens of growing runs of bytes."""
 
@@ -68,7 +98,9 @@ class _Merges:
         from tokenizers import models
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        check_settings(file)
+        model = file["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
         self.whole = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=WORD_END)
@@ -201,7 +233,8 @@ class PrefixPieces(Pieces):
             found[i] = self.counts(texts[i])
         odd = [i for i, t in enumerate(texts) if not t.isascii()]
         for i, ids in zip(odd, self.ids([texts[i] for i in odd]) if odd else (), strict=True):
-            found[i][-1] = len(ids)  # should the library know another edition of Unicode, its count of the whole stands
+            if found[i][-1] != len(ids):  # the library knows another edition of Unicode
+                found[i] = [len(x) for x in self.ids([texts[i][: n + 1] for n in range(len(texts[i]))])]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((x for f in found for x in f), np.uint32, int(sizes.sum())), sizes
 
@@ -279,11 +312,19 @@ class PrefixPieces(Pieces):
 
     def _uncomposed(self, text: str) -> list[int]:
         scan, seconds = Scan(self.merges, self.letters), second_parts()
-        out, begin, kept = [], 0, 0
+        out, begin, kept, last = [], 0, 0, 0  # last: class of the mark that the cluster so far ends with, in normal form
         for i, c in enumerate(text):
-            if not unicodedata.combining(c) and c not in seconds and unicodedata.is_normalized("NFC", c):
+            kind = unicodedata.combining(c)
+            if kind and kind == last and unicodedata.is_normalized("NFC", c):  # kept apart from its base by the one before
+                for x in c.lower():
+                    scan.push(x)
+                out.append(scan.after[4][-1])
+                continue
+            if not kind and c not in seconds and unicodedata.is_normalized("NFC", c):
                 begin, kept = i, len(scan.text)  # nothing before it can change any more
-            cluster = [x for y in unicodedata.normalize("NFC", text[begin : i + 1]) for x in y.lower()]
+            normal = unicodedata.normalize("NFC", text[begin : i + 1])
+            last = unicodedata.combining(normal[-1])
+            cluster = [x for y in normal for x in y.lower()]
             same = kept
             while same < len(scan.text) and same - kept < len(cluster) and scan.text[same] == cluster[same - kept]:
                 same += 1

@@ -71,3 +71,39 @@ def test_long_run_without_blanks(encoder):
     assert len(counts) == len(t)
     for n in (1, 777, 10_000, 20_000):
         assert counts[n - 1] == len(brute.ids(PATH, t[:n]))
+
+
+def test_marks_in_any_order_and_very_many(encoder):
+    import time
+
+    draw = random.Random(11)
+    marks = ["\u0301", "\u0323", "\u0327", "\u0345", "\u0300", "\u0344", "\u0f71", "\u05b0"]
+    for _ in range(150):
+        t = draw.choice(["a", "e\u0301", "\u03b1", "x ", ""]) + "".join(draw.choices(marks, k=draw.randint(1, 14))) + draw.choice(["", "b", " a\u0301"])
+        assert encoder.counts(t) == [len(brute.ids(PATH, t[: n + 1])) for n in range(len(t))], ascii(t)
+    t = "a" + "\u0301" * 100_000 + " b"
+    begun = time.perf_counter()
+    counts = encoder.counts(t)
+    assert time.perf_counter() - begun < 10
+    for n in (1, 2, 3, 5000, len(t)):
+        assert counts[n - 1] == len(brute.ids(PATH, t[:n]))
+
+
+def test_other_rules_are_refused(tmp_path):
+    import json
+
+    with open(queries.tokenizer(PATH), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError, match="normalizer"):
+        prefix_counts._Merges(str(tmp_path / "other.json"))
+
+
+def test_counts_agree_where_the_library_counts_otherwise(encoder, monkeypatch):
+    from quern.llm.tokens import Pieces
+
+    real = Pieces.ids
+    monkeypatch.setattr(Pieces, "ids", lambda self, texts: [[0, *x] for x in real(self, texts)])
+    flat, sizes = encoder._many(["né", "ab"])
+    assert sizes.tolist() == [2, 2] and flat[:2].tolist() == [len(brute.ids(PATH, t)) + 1 for t in ("n", "né")]
