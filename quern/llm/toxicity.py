@@ -1,14 +1,14 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text is read as words (runs of letters) in overlapping windows of ``STEPS`` words, one every ``STRIDE``; a document's
-score is that of its worst window.  A word enters by itself (its log-odds among the labelled rows and a hashed
+A text is read as words (runs of letters) in overlapping windows of ``STEPS`` words, one every ``STRIDE`` words, so that every
+run of ``STEPS - STRIDE + 1`` words lies whole in one; a document's score is that of its worst window.  A word enters by itself (its log-odds among the labelled rows and a hashed
 embedding) and by its characters (runs of 3 to 9 bytes with marks at both ends: greatest and mean log-odds and a mean
 hashed embedding), so that unseen words with a known stem are seen, too.  Training is by multiple instances: a
 document's label trains on the window that the network finds worst.
 
 The network is fitted on the driver to a bounded sample of labelled rows (``MAX_POSITIVE`` and ``MAX_NEGATIVE`` rows, of
 at most ``MAX_CHARS`` characters, picked by a hash of doc_id); rows held out are never among them.  Only text enters a
-score.  All windows of all texts are scored.
+score.  All these windows of all texts are scored, to their ends.
 
 Edge cases: a null text counts as empty; a text without letters scores 0; without labels of both kinds every score is
 0; labels with nulls are left out; repeated rows score alike; one row for each row.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from quern.llm.bytes import Block, blocks, mix, table
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 20_000
-STEPS, STRIDE, HIDDEN, BUCKETS, DEPTH = 24, 16, 6, 1 << 17, 3
+STEPS, STRIDE, HIDDEN, BUCKETS, DEPTH = 24, 4, 6, 1 << 17, 3
+#: Words from one window to the next in training, where each text's worst window alone counts.
+TRAINED_STRIDE = 16
 GRAMS = (3, 4, 5, 6, 8, 9)
 THRESHOLD = 0.3
 PRIOR, LEAST_ROWS = 5.0, 5
@@ -171,14 +173,14 @@ class Network:
         return g, dx, float(loss)
 
 
-def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each window, and its row: every ``STRIDE`` words and once at the end of a row."""
+def windows(bounds: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each window, and its row: every ``stride`` words and once at the end of a row."""
     sizes = np.diff(bounds)
-    count = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - STEPS) // STRIDE)), 0)
+    count = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - STEPS) // stride)), 0)
     row = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     latest = np.maximum(bounds[row], bounds[row + 1] - STEPS)
-    return np.minimum(bounds[row] + number * STRIDE, latest), row
+    return np.minimum(bounds[row] + number * stride, latest), row
 
 
 def steps(first: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +257,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 2, epochs: int = 6,
     gram_odds = _log_odds(_grams_by_row(bounds, flat, first, grams), BUCKETS, y)
     net = Network({int(k): float(o) for k, o in zip(keys, odds, strict=True) if o}, gram_odds, trained=True)
 
-    start, of_row = windows(bounds)
+    start, of_row = windows(bounds, TRAINED_STRIDE)
     fixed = net.fixed(keys, grams, of)
     at, there = steps(start, of_row, bounds)
     worst = (fixed.max(1)[flat[at]] * there).max(1)  # before the network can tell, the odds do
@@ -358,7 +360,7 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[int
     ]
     # at most MAX_POSITIVE + MAX_NEGATIVE pairs of numbers
     d = documents.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
-    d = d.where(F.length("text") <= MAX_CHARS).dropDuplicates(["doc_id"])
+    d = d.where(F.length("text") <= MAX_CHARS).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(d.select("doc_id", "text", "toxic").collect())
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
