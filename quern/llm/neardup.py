@@ -89,7 +89,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
                 )
 
     d = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(sign, "doc_id long, n long, sig binary, halves array<long>")
+    return d.mapInArrow(common.released(sign), "doc_id long, n long, sig binary, halves array<long>")
 
 
 def compressed(documents: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def compressed(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "z"])
 
     d = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(squeeze, "doc_id long, z binary")
+    return d.mapInArrow(common.released(squeeze), "doc_id long, z binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     p = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
     p = p.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
-    return p.select("a", "b", "za", "zb").mapInArrow(verify, "a long, b long").distinct()
+    return p.select("a", "b", "za", "zb").mapInArrow(common.released(verify), "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def prefix_pairs(ends: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["b", "n", "shingle"])
 
     d = texts.join(ends.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "z")
-    rows = common.written(d.mapInArrow(listed, "b long, n long, shingle long"), "shingles")
+    rows = common.written(d.mapInArrow(common.released(listed), "b long, n long, shingle long"), "shingles")
     many = rows.groupBy("shingle").agg(F.count("*").alias("ends")).where("ends > 1")
     rows = rows.join(many, "shingle")
     mine = Window.partitionBy("b")

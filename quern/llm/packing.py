@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import common
 from quern.llm.bytes import blocks
 from quern.llm.tokens import POOL, pieces
 
@@ -245,7 +246,7 @@ def packed(
 
     columns = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
     columns += [F.col("prompt").try_cast("long")] if "prompt" in documents.columns else []
-    return documents.select(*columns).mapInArrow(work, SCHEMA)
+    return documents.select(*columns).mapInArrow(common.released(work), SCHEMA)
 
 
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]

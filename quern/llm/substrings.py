@@ -84,7 +84,7 @@ def seeds_of(documents: DataFrame) -> DataFrame:
                 )
 
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(work, "doc_id long, seed long")
+    return d.mapInArrow(common.released(work), "doc_id long, seed long")
 
 
 def copies_of(documents: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def copies_of(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names, sizes, pa.array(sums, pa.binary())], ["doc_id", "words", "sum"])
 
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    d = d.mapInArrow(work, "doc_id long, words int, sum binary").where(F.col("words") >= WINDOW)
+    d = d.mapInArrow(common.released(work), "doc_id long, words int, sum binary").where(F.col("words") >= WINDOW)
     d = common.written(d, "sums")
     least = d.groupBy("sum").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
     d = d.join(least, "sum").where("source < doc_id")
@@ -129,7 +129,7 @@ def compressed(documents: DataFrame) -> DataFrame:
                 [*batch.columns[:last], pa.array(raw, pa.binary())], [*batch.schema.names[:last], "z"]
             )
 
-    return d.mapInArrow(squeeze, T.StructType(fields))
+    return d.mapInArrow(common.released(squeeze), T.StructType(fields))
 
 
 def _texts(raw: list) -> list[bytes]:
@@ -177,7 +177,7 @@ def edges_of(seeded: DataFrame) -> DataFrame:
                         ["seed", "salt", "a", "b", "doc_id", "place"],
                     )
 
-    return seeded.select("doc_id", "z", "seeds").mapInArrow(work, "seed long, salt int, a long, b long, doc_id long, place int")
+    return seeded.select("doc_id", "z", "seeds").mapInArrow(common.released(work), "seed long, salt int, a long, b long, doc_id long, place int")
 
 
 def _pair(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -376,7 +376,7 @@ def spans_of(paths: DataFrame, texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("target", "start", "words", "source_start")).alias("__paths")
     ).drop("list")
     # all columns of the texts go in, so that this join and the last one share an exchange
-    spans = texts.join(there, "doc_id").mapInArrow(work, "doc_id long, start int, words int, digest binary")
+    spans = texts.join(there, "doc_id").mapInArrow(common.released(work), "doc_id long, start int, words int, digest binary")
     return spans.where("digest IS NOT NULL")
 
 
@@ -424,7 +424,7 @@ def cut(documents: DataFrame, keep_text: bool = True, staged: bool = False) -> D
                 columns += [pa.array(out, pa.string())] * keep_text
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    d = d.select(*others, "z", "spans").mapInArrow(work, T.StructType(fields))
+    d = d.select(*others, "z", "spans").mapInArrow(common.released(work), T.StructType(fields))
     return d.select(*[c for c in documents.columns if keep_text or c != "text"], "n_words", "n_removed", "kept_sha256")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import common
 from quern.llm.bytes import blocks, row_of
 
 TOPICS, SIZE, LONGER, ROUNDS = 8, 64, 5, 5
@@ -57,7 +58,7 @@ def measured(documents: DataFrame, keep_text: bool) -> DataFrame:
                 columns = [*part.columns[:n], pa.array(np.diff(bounds)), pa.array([v.tobytes() for v in vectors], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns + [part.column(n)] * keep_text, names)
 
-    return d.mapInArrow(work, T.StructType(fields))
+    return d.mapInArrow(common.released(work), T.StructType(fields))
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def _sums(d: DataFrame, centroids: Centroids | None) -> dict[int, tuple[int, np.
         for t, x in total.items():
             yield pa.RecordBatch.from_pydict({"topic": [t] * len(x), "place": range(len(x)), "x": x}, schema=_SUMS)
 
-    rows = d.select("__v").mapInArrow(work, "topic int, place int, x double").groupBy("topic", "place").agg(F.sum("x").alias("x"))
+    rows = d.select("__v").mapInArrow(common.released(work), "topic int, place int, x double").groupBy("topic", "place").agg(F.sum("x").alias("x"))
     out: dict[int, np.ndarray] = {}
     for r in rows.collect():
         out.setdefault(r["topic"], np.zeros(SIZE + 1))[r["place"]] = r["x"]
