@@ -33,6 +33,8 @@ SHORT_TWO, SHORT_THREE = ("s", "t", "m", "d"), ("re", "ve", "ll")
 RUN = regex.compile(rf"('(?:s|t|re|ve|m|ll|d))|\p{{L}}+|\p{{N}}|[^{''.join(sorted(SPACES))}\p{{L}}\p{{N}}]+")
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 WORD_END = "</w>"
+#: Marks that often follow a word; none begins a special string or a short form.
+STOPS = ".,;:!?"
 SETTINGS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
@@ -218,8 +220,8 @@ class Scan:
 class PrefixPieces(Pieces):
     """As ``Pieces``, but what is remembered of a piece are the counts after each of its code points."""
 
-    MOST, AT_ONCE = 8_000_000, 1 << 30
-    RUNS, SHORT = 200_000, 24
+    MOST, AT_ONCE = 16_000_000, 1 << 30
+    RUNS, SHORT = 400_000, 24
 
     def __init__(self, path: str):
         super().__init__(path, lead=False)
@@ -230,7 +232,7 @@ class PrefixPieces(Pieces):
     def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found: list[list[int]] = [[]] * len(texts)
         for i in sorted(range(len(texts)), key=texts.__getitem__):  # neighbours share their beginnings
-            found[i] = self.counts(texts[i])
+            found[i] = self._word(texts[i])
         odd = [i for i, t in enumerate(texts) if not t.isascii()]
         for i, ids in zip(odd, self.ids([texts[i] for i in odd]) if odd else (), strict=True):
             if found[i][-1] != len(ids):  # the library knows another edition of Unicode
@@ -238,6 +240,17 @@ class PrefixPieces(Pieces):
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((x for f in found for x in f), np.uint32, int(sizes.sum())), sizes
 
+    def _word(self, text: str) -> list[int]:
+        """``counts`` of a word; most are plain letters, perhaps with stops after them: runs with nothing to compose or to split."""
+        letters = text.rstrip(STOPS)
+        if not (text.isascii() and letters.isalpha()):
+            return self.counts(text)
+        found = self._run(letters.lower())
+        if len(letters) == len(text):
+            return found
+        done = found[-1]
+        return found + [done + n for n in self._run(text[len(letters) :])]
+
     def counts(self, text: str) -> list[int]:
         """Tokens of the prefixes of 1, 2, ... code points."""
         out: list[int] = []
@@ -291,11 +304,9 @@ class PrefixPieces(Pieces):
             raw = run.encode("utf-8", "replace")
             letters = "".join([self.letters[b] for b in raw])
         if run[0].isalpha():
-            same = 0
-            for a, b in zip(letters, self.before, strict=False):
-                if a != b:
-                    break
-                same += 1
+            same, before = min(len(letters), len(self.before)), self.before
+            while letters[:same] != before[:same]:
+                same -= 1
             del self.last[same:], self.count[same:], self.ended[same:]
             self.ended += self.merges.grow(letters, len(letters) - same, 0, self.last, self.count)
             self.before, found = letters, self.ended.copy()
