@@ -26,12 +26,12 @@ def j01_example_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = F.concat(F.lit("\t "), x, F.lit(" \n"))
     json = (
         F.when(k == 0, F.to_json(F.array(many)))
-        .when(k == 1, s(shona=F.lit(" "), text=x, gloss=F.lit("said"), note=F.lit(" a  note ")))
+        .when(k == 1, s(text=F.lit(" "), example=x, gloss=F.lit("said"), note=F.lit(" a  note ")))
         .when(k == 2, s(source_text=many, note=F.lit("")))
         .when(k == 3, s(example=x, meaning=F.lit("told"), raw_text=x, dialects=F.array(F.lit("K"), F.lit(" "), F.lit("Z "))))
-        .when(k == 4, s(translation=x, shona=F.lit(5), note=x))
+        .when(k == 4, s(translation=x, text=F.lit(5), note=x))
         .when(k == 5, F.concat(F.lit("[5, null, {}, "), F.substring(F.to_json(F.array(x)), F.lit(2), F.length(F.to_json(F.array(x))))))
-        .otherwise(F.to_json(F.struct(x.alias("shona"))))
+        .otherwise(F.to_json(F.struct(x.alias("text"))))
     )
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(annotations.examples(json)).alias("e"))
     return d.select("conv_id", "turn", "e.text", "e.meaning", "e.note", F.array_join("e.dialects", ",").alias("dialects"))
