@@ -236,7 +236,8 @@ def repeated_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     by = Window.partitionBy("seed", "salt", "a", "b")
     # ``often`` is the salt again, but a filter on it stays above the exchange, which is then made once
-    met = edges.repartition("seed", "salt").select("*", *_first(by), F.max("salt").over(by).alias("often"))
+    dealt = edges.repartition("seed", "salt")
+    met = dealt.select("*", *_first(by), F.max("salt").over(by).alias("often"))
     # of a common edge every partition has a least occurrence of its own
     nodes = met.where("source = doc_id AND source_place = place AND (often > 0 OR source < last)")
     nodes = nodes.select("often", "a", "b", "doc_id", "place", "source", "source_place", "last")
@@ -245,7 +246,7 @@ def repeated_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     rare = met.where("often = 0 AND source < doc_id").withColumn("edges", F.lit(1).cast("long"))
     columns = ("doc_id", "place", "edges", "source", "source_place")
     grown = _joined(rare, order, "seed", "salt", "doc_id").select(*columns)
-    both = nodes.unionByName(grown, allowMissingColumns=True).unionByName(common_runs(met.where("often > 0"), order), allowMissingColumns=True)
+    both = nodes.unionByName(grown, allowMissingColumns=True).unionByName(common_runs(common.where_computed(dealt, F.col("salt") > 0), order), allowMissingColumns=True)
     both = common.written(both, "edges")
 
     first = both.where("often = 0").select("a", "b", "source", "source_place")
