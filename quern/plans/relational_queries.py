@@ -373,7 +373,7 @@ def st01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = jsonl.new_folder(spark, "limits")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     last = e.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))
-    e.repartition(4, "event_id").write.parquet(f"{at}/landing/part=1")
+    e.repartition("event_id").write.parquet(f"{at}/landing/part=1")
     last.write.parquet(f"{at}/landing/part=2")
     landed = spark.readStream.schema(e.schema).parquet(f"{at}/landing/*")
     limiter.run(spark, limiter.stream(landed, 86_400, 2), f"{at}/answers", f"{at}/state")

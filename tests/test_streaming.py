@@ -35,6 +35,24 @@ def test_stream_of_limits_equals_the_batch(spark, tmp_path):
     assert got == want and any(not r[5] and r[7] > 0 for r in got)
 
 
+def test_stream_of_many_users_in_another_zone(spark, tmp_path):
+    """Thirty thousand windows, a row of state each, by the session's clock; with a call of Python for each they took minutes."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        e = spark.range(40_000).select(F.col("id").alias("event_id"), (F.col("id") % 30_000).alias("user_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") % 977).alias("ts"))
+        e.write.parquet(f"{tmp_path}/landing/part=0")
+        e.limit(1).select(F.lit(-1).cast("long").alias("event_id"), "user_id", F.timestamp_seconds(F.lit(1_700_400_000)).alias("ts")).write.parquet(f"{tmp_path}/landing/part=1")
+        answers = limiter.stream(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/landing/*"), 86_400, 1)
+        assert "transformWithState" not in answers._jdf.queryExecution().analyzed().toString()
+        limiter.run(spark, answers, f"{tmp_path}/answers", f"{tmp_path}/state")
+        got = spark.read.schema(limiter.ANSWER).parquet(f"{tmp_path}/answers").where("event_id >= 0")
+        want = limiter.batch(e, 86_400, 1)
+        assert got.count() == 40_000 and got.exceptAll(want).count() == 0 and got.where("NOT allowed").count() > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_late_duplicates_are_refused_and_no_state_is_kept(spark, tmp_path):
     schema = spark.createDataFrame([], "id long, v string").schema
     runs = [[(1, "a"), (2, "a"), (2, "a"), (None, "x")], [(2, "b"), (3, "b")], [], [(1, "c"), (4, "c"), (None, "y")]]
