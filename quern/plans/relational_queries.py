@@ -259,12 +259,27 @@ def jn11_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT DISTINCT a.p_partkey AS part_a, b.p_partkey AS part_b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size = b.p_size AND ((a.p_name = b.p_name AND a.p_type = b.p_type) OR (a.p_brand = b.p_brand AND a.p_name = b.p_name))""",
 )
 def jn12_or_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join on either of two keys: each row is exploded into its keys, so that a hash join serves, then deduplicated."""
-    keys = F.array(F.struct(F.lit("t").alias("k"), F.col("p_type").alias("v")), F.struct(F.lit("b").alias("k"), F.col("p_brand").alias("v")))
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.explode(keys).alias("key"))
-    a, b = p.withColumnRenamed("p_partkey", "part_a"), p.withColumnRenamed("p_partkey", "part_b")
-    j = a.join(b, ["p_size", "p_name", "key"]).where("part_a < part_b")
-    return j.select("part_a", "part_b").distinct()
+    """A join on either of two keys: a hash join for each, the second without what the first has found.
+
+    Where keys of parts are unique no pair comes twice, so pairs stream out of the joins; only pairs of keys that several
+    rows have are held against each other.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_brand")
+    rows = p.groupBy("p_partkey").agg(F.count("*").alias("rows")).where("rows > 1").select("p_partkey", F.lit(True).alias("many"))
+    p = p.join(rows, "p_partkey", "left").withColumn("many", F.col("many").isNotNull())
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_size", "p_name")  # few rows make many pairs: no fewer tasks
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        same = (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+        of_type = F.col("a.p_type") == F.col("b.p_type")
+        by_type = a.join(b, same & of_type)
+        by_brand = a.join(b, same & (F.col("a.p_brand") == F.col("b.p_brand")) & ~F.coalesce(of_type, F.lit(False)))
+        found = [F.col("a.p_partkey").alias("part_a"), F.col("b.p_partkey").alias("part_b")]
+        return by_type.select(*found).union(by_brand.select(*found))
+
+    one, many = p.where("NOT many"), p.where("many")
+    return pairs(one, one).union(pairs(many, p).union(pairs(one, many)).distinct())
 
 
 @query(
