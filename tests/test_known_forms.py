@@ -99,3 +99,19 @@ def test_case_folding_of_all_letters(spark):
     d = spark.createDataFrame(list(enumerate(words)), "i int, x string")
     wrong = [words[r.i] for r in d.select("i", ort.casefold(F.col("x")).alias("f")).collect() if r.f != words[r.i].casefold()]
     assert not wrong
+
+
+def test_public_ids_take_few_steps(spark):
+    """The letters of a uuid against Python's, from an expression that is not written out anew for each letter."""
+    import base64
+    import uuid
+
+    from quern.functions import spelling
+
+    some = [uuid.UUID(int=0), uuid.UUID(int=(1 << 128) - 1), uuid.UUID(int=1), *(uuid.uuid5(uuid.NAMESPACE_DNS, str(i)) for i in range(200))]
+    d = spark.createDataFrame([(str(u),) for u in some] + [(str(some[-1]).upper(),)], "u string")
+    column = spelling.public_id("lem", F.col("u"))
+    got = [r.x for r in d.select(column.alias("x")).collect()]
+    want = ["lem_" + base64.b32encode(u.bytes).decode().rstrip("=").lower() for u in [*some, some[-1]]]
+    assert got == want
+    assert str(column).count("conv(") <= 4
