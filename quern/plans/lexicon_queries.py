@@ -292,7 +292,7 @@ _NOUNS = {
 )
 def pl01_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plurals of nouns composed from the parts, or the code of what forbids one."""
-    d = table(spark, sf_dir, "part")
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # much work for few bytes
     for name, sql in _NOUNS.items():
         d = d.withColumn(name, F.expr(sql))
     d = d.withColumn("d", plurals.derived(F.col("headword"), F.col("noun_class"), F.col("recorded")))

@@ -115,3 +115,8 @@ def test_public_ids_take_few_steps(spark):
     want = ["lem_" + base64.b32encode(u.bytes).decode().rstrip("=").lower() for u in [*some, some[-1]]]
     assert got == want
     assert str(column).count("conv(") <= 4
+
+
+def test_plurals_are_written_out_once():
+    """The driver analyses the expression; its parts must not multiply (they took gigabytes)."""
+    assert len(str(plurals.derived(F.col("h"), F.col("c"), F.col("r")))) < 100_000
