@@ -12,6 +12,7 @@ none of a public entry gets nothing, as it is no spelling mistake.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,14 +137,30 @@ class SurfaceIndex:
         return SurfaceIndex.built(self.table().unionByName(new))
 
 
-def tagged(tokens: DataFrame, index: SurfaceIndex) -> DataFrame:
+#: The place of a token as one number: lesson (10 digits), page (19) and line (9: an array of lines holds fewer), in order.
+_PLACE = "decimal(38,0)"
+
+
+def tagged(source: DataFrame, index: SurfaceIndex, tokens: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Entry by entry of the index how often it occurs, in how many surfaces, and where first.
 
-    ``tokens``: surface, lesson, page, line (its number) and context.  Occurrences are added up by surface before they meet
-    the index; a lesson that is not known counts as 1.
+    ``tokens`` of the source: surface, lesson, page, line (its number) and context; the source has at least page, from 0.
+    Occurrences are added up by surface before they meet the index, and carry their place as a number, not their context:
+    that is looked up afterwards, in the pages where an entry occurs first.  A lesson that is not known counts as 1.
     """
-    at = F.struct(F.coalesce("lesson", F.lit(1)).alias("lesson"), "page", "line", F.left("context", F.lit(200)).alias("context"))
-    by = tokens.groupBy("surface").agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    digits = lambda n: F.lit(f"1{'0' * n}").cast(_PLACE)
+    known = F.coalesce("lesson", F.lit(1))
+    place = (known.cast("decimal(10,0)") * digits(28).cast("decimal(29,0)")).cast(_PLACE) + F.col("page").cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("line")
+    by = tokens(source).select("surface", place.cast(_PLACE).alias("place")).groupBy("surface").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     d = by.join(index.table(), "surface")
-    d = d.groupBy("entry").agg(F.sum("n").alias("occurrences"), F.count("*").alias("surfaces"), F.min("tier").alias("tier"), F.min("first").alias("first"))
-    return d.select("entry", "occurrences", "surfaces", "tier", "first.lesson", "first.page", "first.context")
+    d = d.groupBy("entry").agg(F.sum("n").alias("occurrences"), F.count("*").alias("surfaces"), F.min("tier").alias("tier"), F.min("place").alias("place"))
+    page = F.expr("CAST(place % CAST('1e28' AS DECIMAL(29,0)) AS DECIMAL(28,0)) div 1000000000")
+    firsts = jsonl.kept(d.withColumns({"page": page.cast("long"), "line": (F.col("place") % 10**9).cast("int")}), "firsts")
+    firsts = firsts.withColumn("lesson", F.expr("place div CAST('1e28' AS DECIMAL(29,0))").cast("int"))
+
+    pages = source.join(firsts.select("page").distinct(), "page", "left_semi")
+    at = tokens(pages).select("surface", known.alias("lesson"), "page", "line", F.left("context", F.lit(200)).alias("context"))
+    lines = firsts.select("lesson", "page", "line").distinct()
+    found = at.join(lines, ["lesson", "page", "line"], "left_semi").join(index.table().select("surface", "entry"), "surface")
+    contexts = found.join(firsts.select("entry", "lesson", "page", "line"), ["entry", "lesson", "page", "line"]).groupBy("entry").agg(F.min("context").alias("context"))
+    return firsts.join(contexts, "entry", "left").select("entry", "occurrences", "surfaces", "tier", "lesson", "page", "context")

@@ -56,13 +56,13 @@ def c01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(documents: DataFrame) -> DataFrame:
     """Tokens of the lines: no punctuation round them, inside only hyphens and apostrophes; the lesson is the source's number."""
-    lines = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "context"))
+    lines = documents.select("page", "source", F.posexplode(F.split("text", "\n")).alias("line", "context"))
     lines = lines.withColumn("context", F.trim(F.regexp_replace("context", r"^\s+|\s+$", "")))
     words = lines.withColumn("word", F.explode(F.split("context", r"\s+")))
     word = F.lower(F.regexp_replace("word", r"^[\p{Punct}“”‘’]+|[\p{Punct}“”‘’]+$", ""))
     words = words.withColumn("surface", word).where(F.col("surface").rlike(r"^[a-z0-9']+(?:-[a-z0-9']+)*$"))
     lesson = F.regexp_extract("source", r"(\d+)$", 1)
-    return words.select("surface", F.when(lesson != "", lesson.cast("int")).alias("lesson"), F.col("doc_id").alias("page"), "line", "context")
+    return words.select("surface", F.when(lesson != "", lesson.cast("int")).alias("lesson"), "page", "line", "context")
 
 
 _PUNCT = r"!-/:-@\[-`{-~“”‘’"
@@ -90,9 +90,9 @@ def c09_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of the documents resolved over the index; entries with their occurrences, earliest lesson, score and level."""
     words = verbs.spelled(spark, sf_dir)
     entries, forms = dictionary(words)
-    found = tokens(table(spark, sf_dir, "documents"))
-    index = cascade.SurfaceIndex.built(cascade.resolution(found.select("surface"), entries, forms))
-    d = cascade.tagged(found, index)
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "source", "text")
+    index = cascade.SurfaceIndex.built(cascade.resolution(tokens(documents).select("surface"), entries, forms))
+    d = cascade.tagged(documents, index, tokens)
     score = learning.score(F.col("lesson"), F.col("occurrences"))
     return d.withColumns({"score": score, "frequency_tier": learning.tier(score), "level": learning.level(F.col("lesson"))})
 

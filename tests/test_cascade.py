@@ -76,3 +76,22 @@ def test_tags_of_tokens(spark, dictionary):
     got = cascade.tagged(tokens, index).collect()
     assert [tuple(r) for r in got] == [("ziva", 4, 3, 0, 1, 7, "none")]
     assert cascade.tagged(tokens.limit(0), index).count() == 0
+
+
+def test_contexts_are_not_dealt_out_with_tokens(spark, dictionary):
+    """Of two rows of one place the one of the entry counts; tokens are added up by hash, without contexts."""
+    entries, forms = dictionary
+    rows = [("ziva", 2147483647, 2**62, 3, "b"), ("ziva", 2147483647, 2**62, 3, "a"), ("tora", 2147483647, 2**62, 3, "A"), ("tora", 0, 9, 10**9 - 1, "z"), ("tora", 0, 10, 0, "y")]
+    tokens = spark.createDataFrame(rows, "surface string, lesson int, page long, line int, context string")
+    index = cascade.SurfaceIndex.built(cascade.resolution(tokens.select("surface"), entries.where("public"), forms))
+    got = {tuple(r) for r in cascade.tagged(tokens, index).collect()}
+    assert got == {("ziva", 2, 1, 0, 2147483647, 2**62, "a"), ("tora", 3, 1, 0, 0, 9, "z")}
+    sorts = []
+    plan = lambda d: sorts.append(d._jdf.queryExecution().executedPlan().toString())
+    kept = cascade.jsonl.kept
+    cascade.jsonl.kept = lambda d, name: (plan(d), kept(d, name))[1]
+    try:
+        cascade.tagged(tokens, index)
+    finally:
+        cascade.jsonl.kept = kept
+    assert sorts and "SortAggregate" not in sorts[0]
