@@ -1,7 +1,8 @@
 """Many look-ups at once through tiers, each of which gets only what those before it left.
 
 A tier's answers are anti-joined away before the next runs, so the dear tiers (readings, likeness) see few look-ups.
-``search`` has five: entries, forms, entries of readings, and by likeness entries and forms; ``resolution`` has three and
+``search`` has five: entries, forms, entries of readings, and by likeness entries and forms (blocks of both sides are held
+against each other, and of each block only what may be among the first answers comes out); ``resolution`` has three and
 takes one entry for each surface, and ``SurfaceIndex`` keeps those as a table bucketed by surface, which later joins read
 in place.
 
@@ -14,6 +15,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,30 +38,61 @@ def without(left: DataFrame, hits: DataFrame, key: str = "q") -> DataFrame:
     return left.join(hits.select(key).distinct(), key, "left_anti")
 
 
-def _ranked_grams(words: DataFrame, grams: DataFrame, word: str) -> DataFrame:
-    """Each word with its trigrams, rarest first; ``grams`` has how many spellings hold a trigram."""
-    d = words.select(word, F.explode(spelling.word_trigrams(F.col(word))).alias("gram"))
-    d = d.join(grams, "gram", "left").select(word, F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram").alias("at"))
-    return d.groupBy(word).agg(F.sort_array(F.collect_list("at")).alias("at")).select(word, F.col("at.gram").alias("grams"))
-
-
-def _first(grams: str):
-    """The rarest trigrams of a spelling: two that are alike share one of them, as all but so many must be shared."""
-    return F.explode(F.slice(grams, F.lit(1), F.size(grams) - F.ceil(F.size(grams) * TENTHS / F.lit(10)).cast("int") + 1))
-
-
-def alike(asked: DataFrame, known: DataFrame) -> DataFrame:
+def _parts(grams: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the rows of lists, and where each row's items begin (and the last ends)."""
+    sizes = pc.list_value_length(grams).to_numpy().astype(np.int64)
+    return sizes, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _pairs_of_blocks(best: int | None, kinds: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What is alike of one block of spellings and one of look-ups: postings of the block's trigrams, counted for each look-up."""
+
+    def pairs(known: pa.Table, asked: pa.Table) -> pa.Table:
+        (nb, _), (na, begin) = _parts(known["b"]), _parts(asked["a"])
+        each = pa.concat_arrays([x for t in (known["b"], asked["a"]) for x in (pc.list_flatten(t).cast(pa.string()).combine_chunks(),)])
+        ids = each.dictionary_encode().indices.to_numpy()
+        held, sought = ids[: nb.sum()], ids[nb.sum() :]
+        order = np.argsort(held, kind="stable")
+        holder = np.repeat(np.arange(len(nb)), nb)[order]
+        starts = np.searchsorted(held[order], np.arange(len(ids) + 1))
+        of_kind = [known[k].to_numpy(zero_copy_only=False).astype(bool) for k in kinds] or [np.ones(len(nb), bool)]
+        rows, hits, values = [], [], []
+        for i in range(len(na)):
+            met = [holder[starts[g] : starts[g + 1]] for g in sought[begin[i] : begin[i + 1]]]
+            if not met:
+                continue
+            both = np.bincount(np.concatenate(met), minlength=len(nb))
+            near = np.flatnonzero((both > 0) & ((10 + TENTHS) * both >= TENTHS * (na[i] + nb)))
+            value = both[near] / (na[i] + nb[near] - both[near])
+            if best and len(near) > best:
+                keep = np.zeros(len(near), bool)
+                for k in of_kind:
+                    mine = value[k[near]]
+                    least = np.partition(mine, -best)[-best] if len(mine) > best else 0
+                    keep |= k[near] & (value >= least)  # ties are all kept: their order is by name
+                near, value = near[keep], value[keep]
+            rows.append(np.full(len(near), i)), hits.append(near), values.append(value)
+        rows, hits, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, hits, values))
+        return pa.table([asked["q"].take(rows.astype(np.int64)), known["spelling"].take(hits.astype(np.int64)), pa.array(values, pa.float64())], ["q", "spelling", "similarity"])
+
+    return pairs
+
+
+def alike(asked: DataFrame, known: DataFrame, best: int | None = None, kinds: list[str] = (), block: int = 8192) -> DataFrame:
     """Pairs (q, spelling) that share ``TENTHS`` of their trigrams or more, with ``similarity``.
 
-    Exact: both sides are looked up by their rarest trigrams only, so a trigram that most spellings hold joins few rows.
+    Exact: every look-up meets every spelling that it shares a trigram with, block by block; a task holds one block of each
+    side.  With ``best``, pairs that have so many better ones of each of their ``kinds`` (boolean columns of ``known``) in
+    one block may be left out.
     """
-    grams = known.select(F.explode(spelling.word_trigrams(F.col("spelling"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("holders"))
-    a = _ranked_grams(asked, grams, "q").withColumnRenamed("grams", "a")
-    b = _ranked_grams(known, grams, "spelling").withColumnRenamed("grams", "b")
-    pairs = a.select("q", _first("a").alias("gram")).join(b.select("spelling", _first("b").alias("gram")), "gram").select("q", "spelling").distinct()
-    d = pairs.join(a, "q").join(b, "spelling").withColumn("both", F.size(F.array_intersect("a", "b")))
-    either = F.size("a") + F.size("b") - F.col("both")
-    return d.where(10 * F.col("both") >= TENTHS * either).select("q", "spelling", (F.col("both") / either).alias("similarity"))
+    k, q = known.select("spelling", *kinds, spelling.word_trigrams(F.col("spelling")).alias("b")), asked.select("q", spelling.word_trigrams(F.col("q")).alias("a"))
+    n, m = known.count() // block + 1, asked.count() // block + 1
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    in_block = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    k = k.where("size(b) > 0").withColumns({"kb": in_block("spelling", n), "qb": all_of(m)})
+    q = q.where("size(a) > 0").withColumns({"qb": in_block("q", m), "kb": all_of(n)})
+    of = lambda d: d.repartition(n * m, "kb", "qb").groupBy("kb", "qb")  # noqa: E731  # much work for few bytes
+    return of(k).cogroup(of(q)).applyInArrow(_pairs_of_blocks(best, list(kinds)), "q string, spelling string, similarity double")
 
 
 def folded(asked: DataFrame) -> DataFrame:
@@ -87,8 +122,9 @@ def search(asked: DataFrame, entries: DataFrame, forms: DataFrame, limit: int =
     morphology = kind(read.join(public.select("entry"), "entry", "left_semi"), 2, "rank")
 
     left = jsonl.kept(without(left, read), "unread")
-    spelled = public.select(F.col("headword").alias("spelling")).union(forms.select("form")).distinct()
-    near = jsonl.kept(alike(left, spelled), "near")
+    as_is = lambda d, c, lemma: d.select(F.col(c).alias("spelling"), F.lit(lemma).alias("lemma"), F.lit(not lemma).alias("form"))
+    spelled = as_is(public, "headword", True).union(as_is(forms, "form", False)).groupBy("spelling").agg(F.max("lemma").alias("lemma"), F.max("form").alias("form"))
+    near = jsonl.kept(alike(left, jsonl.kept(spelled, "spelled"), limit, ["lemma", "form"]), "near")
     lemma = near.join(public, F.col("headword") == F.col("spelling")).withColumn("order", -F.col("similarity"))
     form = near.join(forms, F.col("form") == F.col("spelling")).withColumn("order", -F.col("similarity"))
     found = lexical.union(morphology).union(kind(lemma, 3, "order", None, "similarity")).union(kind(form, 4, "order", "form", "similarity"))

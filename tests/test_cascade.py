@@ -95,3 +95,24 @@ def test_contexts_are_not_dealt_out_with_tokens(spark, dictionary):
     finally:
         cascade.jsonl.kept = kept
     assert sorts and "SortAggregate" not in sorts[0]
+
+
+def test_likeness_in_blocks_keeps_the_best_of_each_kind(spark):
+    import random
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abz", k=draw.randint(1, 9)))
+    a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(400)})
+    kind = {x: (i % 3 < 2, i % 3 > 0) for i, x in enumerate(b)}
+    share = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    known = spark.createDataFrame([(x, *kind[x]) for x in b], "spelling string, lemma boolean, form boolean")
+    d = cascade.alike(spark.createDataFrame([(x,) for x in a], "q string"), known, 5, ["lemma", "form"], block=50)
+    got = {(r.q, r.spelling): r.similarity for r in d.collect()}
+    every = {(x, y): share(x, y) for x in a for y in b if 10 * len(grams(x) & grams(y)) >= 3 * len(grams(x) | grams(y))}
+    assert got.items() <= every.items()
+    for x in a:
+        for k in (0, 1):
+            first = sorted((-s, y) for (q, y), s in every.items() if q == x and kind[y][k])[:5]
+            assert all((x, y) in got for _, y in first)
+    small = cascade.alike(spark.createDataFrame([(x,) for x in a], "q string"), known, 5, ["lemma", "form"])
+    assert small.count() < len(every)  # pairs that cannot be an answer are not handed on
