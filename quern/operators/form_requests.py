@@ -1,7 +1,8 @@
 """Requests for verb forms checked against a table of rules: features as JSON, the first rule that applies, the concords.
 
 What is wrong with a request are facts, drawn from its JSON by expressions; which of them counts is a table (``RULES``) of
-branch, ordinal, fact, code and field.  Facts meet the table in a join, and the rule of least ordinal is the answer.
+branch, ordinal, fact, code and field.  Each fact of a request is looked up in it, and the rule of least ordinal is the
+answer: requests are neither dealt out nor worked out twice.
 
 Edge cases: features that are null or no JSON object are refused as such; a null feature is not an absent one where the rules
 tell them apart; of several wrong extensions the first counts; fields of any JSON type stop nothing.
@@ -103,7 +104,7 @@ def checked(requests: DataFrame, classes: tuple = concords.CLASSES) -> DataFrame
     """Requests (with ``features``, JSON) with branch, code, field, reason (null: supported), and the surfaces subject and object."""
     own = [c for c in requests.columns]
     v = F.col("__v")
-    d = requests.withColumn("__v", F.try_parse_json("features")).withColumn("__id", F.monotonically_increasing_id())
+    d = requests.withColumn("__v", F.try_parse_json("features"))
     is_object = F.coalesce(_kind(v) == "OBJECT", F.lit(False))
     keys = F.coalesce(F.when(is_object, F.json_object_keys("features")), F.array().cast("array<string>"))
     asked = _text(v, "generation_type")
@@ -160,10 +161,11 @@ def checked(requests: DataFrame, classes: tuple = concords.CLASSES) -> DataFrame
     }
     found = F.array_compact(F.concat(F.array(*[F.when(c, f) for f, c in facts.items()]), F.array(F.when(F.col("__list"), F.col("__wrong")))))
     d = d.withColumns({"__foreign": F.get(F.when(infinitive, foreign("infinitive")).otherwise(foreign("imperative")), F.lit(0)), "__facts": found})
-    met = d.select("__id", "branch", "__foreign", F.explode("__facts").alias("fact")).join(F.broadcast(rules(requests.sparkSession)), ["branch", "fact"])  # constants
-    answer = F.struct("code", F.when(F.col("fact") == "unknown_field", F.col("__foreign")).otherwise(F.col("field")).alias("field"), F.col("fact").alias("reason"))
-    first = met.groupBy("__id").agg(F.min_by(answer, "ordinal").alias("answer"))
-    d = d.join(first, "__id", "left")
+    named = F.create_map(*[x for b, n, fact, code, field in RULES for x in (F.lit(f"{b} {fact}"), F.struct(F.lit(n).alias("ordinal"), F.lit(code).alias("code"), F.lit(field).cast("string").alias("field"), F.lit(fact).alias("reason")))])
+    met = F.transform("__facts", lambda f: F.try_element_at(named, F.concat("branch", F.lit(" "), f)))
+    d = d.withColumn("__first", F.array_min(F.filter(met, lambda r: r.isNotNull())))  # ordinals of a branch differ
+    field = F.when(F.col("__first.reason") == "unknown_field", F.col("__foreign")).otherwise(F.col("__first.field"))
+    d = d.withColumn("answer", F.when(F.col("__first").isNotNull(), F.struct("__first.code", field.alias("field"), "__first.reason")))
     good = F.col("answer").isNull()
     surfaces = [F.when(good, F.col(c)).alias(c) for c in ("subject", "object")]
     return d.select(*own, "branch", "answer.code", "answer.field", "answer.reason", *surfaces)

@@ -53,3 +53,8 @@ def test_every_reason_and_the_concords(spark):
     for i, (x, want) in enumerate(GOOD, len(CASES)):
         assert (got[i].reason, got[i].subject, got[i].object) == (None, *want), x
     assert {(b, f) for b, _, f, _, _ in form_requests.RULES if b == "finite"} <= {(w[0], w[1]) for _, w in CASES}
+
+
+def test_requests_are_not_dealt_out(spark):
+    d = form_requests.checked(spark.createDataFrame([(1, "{}")], "id int, features string"))
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
