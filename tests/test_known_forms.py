@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quern.functions import labels, plurals, verbs
@@ -120,3 +122,16 @@ def test_public_ids_take_few_steps(spark):
 def test_plurals_are_written_out_once():
     """The driver analyses the expression; its parts must not multiply (they took gigabytes)."""
     assert len(str(plurals.derived(F.col("h"), F.col("c"), F.col("r")))) < 100_000
+
+
+def test_words_are_folded_once_each(spark, tmp_path):
+    """Folding the distinct words gives what folding whole texts gives; folding is done after the first distinct."""
+    from quern.plans import text_queries
+
+    texts = ["ΑΣ ΣΑΣ Straße\tGROẞ", "İI ŉ\n\nstrasse", "", None, " Sa sa SA ", "ΌΔΟΣ\u00a0x ﬃ K"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = text_queries.distinct_words(spark, str(tmp_path))
+    want = {w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").casefold())}
+    assert {r.word for r in d.collect()} == want and d.count() == len(want)
+    assert {r.word for r in text_queries.distinct_words(spark, str(tmp_path), "s").collect()} == {w for w in want if w.startswith("s")}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
