@@ -8,10 +8,11 @@ Spark adds the counts of all shards.
 
 The texts are split once; the shards, words as numbers, are a table that every pass reads.  Most phrases occur once, so
 three passes narrow down what is listed, and nothing frequent is ever lost: a frequent phrase has frequent parts only.  They
-add up counts of hashes of words, of pairs of such words, of runs of three with such pairs; the hashes (``HASH_BITS`` bits)
-that reach ``LEAST`` go into a bitmap of a fixed size (``BITS``).  Equal hashes or bits let through what is rare, never hold
-back what is frequent.  The last pass lists phrases by their words and counts them exactly; single words only where they
-belong to a frequent pair, as no other is ever part of a candidate (the third pass gathers those words).
+add up counts of hashes of words, of pairs of such words, of runs of three with such pairs; Spark deals them out by ranges
+of hashes, a range's counts in one row (``packed``).  The hashes (``HASH_BITS`` bits) that reach ``LEAST`` go into a bitmap
+of a fixed size (``BITS``).  Equal hashes or bits let through what is rare, never hold back what is frequent.  The last pass
+lists phrases by their words and counts them exactly; single words only where they belong to a frequent pair, as no other
+is ever part of a candidate (the third pass gathers those words).
 
 A phrase inside a longer one is found over the automaton's links of the global table: the longer one without its first
 word, and without its last.  One word more is enough to look at: whatever is longer still has no larger count.
@@ -23,10 +24,13 @@ time, and a shard ends within a text or piece if need be, with the words before
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +46,8 @@ SHARD, PART = 1 << 17, 1 << 22
 GATHERED = 128
 #: Bits of the hashes that are counted, bits of a sieve (8 MB) as a power of two, words of the longest hashed phrases.
 HASH_BITS, BITS, HASHED = 40, 26, 3
+#: Hashes whose counts a task adds up at once; how many shards' hashes a range has room for, about.
+HELD, RANGED = 1 << 18, 16
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _SEPARATORS = frozenset(b".,;:!?\n\v\f\r")
@@ -60,26 +66,19 @@ def split(text: str | None) -> Iterator[list[bytes]]:
     yield [_BREAK]
 
 
-class Ids(dict):
-    """Numbers words as they come; 0 is the break."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Shard:
     """Words of one language, as numbers; the first ``carried`` stand before its own and are not counted."""
 
     def __init__(self, lang: str, before: list[bytes]):
-        self.lang, self.ids, self.parts = lang, Ids(), []
-        self.carried, self.size = len(before), 0
+        self.lang, self.parts = lang, []
+        self.ids: dict[bytes, int] = defaultdict(itertools.count().__next__)  # numbers words as they come
         self.ids[_BREAK]
+        self.carried, self.size = len(before), 0
         self.add(before)
         self.size = 0
 
     def add(self, words: list[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def row(self) -> list:
@@ -89,12 +88,12 @@ class Shard:
         return [self.lang, self.carried, pack(np.concatenate(self.parts).astype("<i4").tobytes()), pack(b" ".join(self.ids))]
 
 
-def word_hashes(lang: str, names: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(x) for x in names])
-    block = Block(0, np.frombuffer(b"".join(names), np.uint8), np.array([0, ends[-1]]))
+def word_hashes(lang: str, names: bytes) -> np.ndarray:
+    block = Block(0, np.frombuffer(names, np.uint8), np.array([0, len(names)]))
+    ends = np.append(np.flatnonzero(block.data == 32), len(names))
     own = Block(0, np.frombuffer(lang.encode() + b"\0", np.uint8), np.array([0, 1]))
     seed = own.hashes(np.array([0]), np.array([len(own.data)]), 7)
-    return mix(block.hashes(np.concatenate([[0], ends[:-1]]), ends, 5) ^ seed)
+    return mix(block.hashes(np.append(0, ends[:-1] + 1), ends, 5) ^ seed)
 
 
 class Sieve:
@@ -111,6 +110,26 @@ class Sieve:
         return self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
+def numbered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``keys`` (0 to ``most``), ascending, and which of them each key is; faster than ``np.unique``."""
+    if most <= 4 * len(keys):
+        seen = np.zeros(most + 1, bool)
+        seen[keys] = True
+        return np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
+    bits = len(keys).bit_length()
+    if most >> (63 - bits):
+        return np.unique(keys, return_inverse=True)
+    both = keys << bits | np.arange(len(keys))  # numbers sort faster by themselves than with their places beside them
+    both.sort()
+    at = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.ones(len(keys), bool)
+    new[1:] = both[1:] != both[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return both[new], inverse
+
+
 class Automaton:
     """The suffix automaton of words ``x`` (0: break) for phrases of up to ``depth`` words, by layers of equal length.
 
@@ -133,7 +152,7 @@ class Automaton:
             ends = np.flatnonzero(fits)
             if allowed is not None:
                 ends = ends[allowed(k, ends)]
-            key, inverse = np.unique(node[ends] * base + x[ends - k + 1], return_inverse=True)
+            key, inverse = numbered(node[ends] * base + x[ends - k + 1], (len(counted) + 1) * base)
             parent = key // base
             n = np.bincount(inverse[ends >= carried], minlength=len(key))
             at = np.zeros(len(key), np.int64)
@@ -151,13 +170,19 @@ class Automaton:
             state_of, counted = own, n
         self.length, self.link, self.count, self.end = length, link, count, end
 
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Last place, words and count of every phrase that occurs."""
+        state = np.flatnonzero(self.count)
+        shorter = self.length[self.link[state]]
+        n = self.length[state] - shorter
+        each = np.repeat(state, n)
+        words = np.arange(len(each)) + np.repeat(shorter + 1 - (np.cumsum(n) - n), n)
+        return self.end[each], words, self.count[each]
+
     def phrases(self) -> Iterator[tuple[int, int, int]]:
         """(first place, place after the last, count) of every phrase that occurs."""
-        shortest = self.length[self.link] + 1
-        for e, a, b, n in zip(self.end[1:].tolist(), shortest[1:].tolist(), self.length[1:].tolist(), self.count[1:].tolist(), strict=True):
-            if n:
-                for k in range(a, b + 1):
-                    yield e - k + 1, e + 1, n
+        end, words, n = self.listed()
+        yield from zip((end - words + 1).tolist(), (end + 1).tolist(), n.tolist(), strict=True)
 
 
 def gate(hashes: np.ndarray, x: np.ndarray, sieves: list[Sieve]) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -166,6 +191,8 @@ def gate(hashes: np.ndarray, x: np.ndarray, sieves: list[Sieve]) -> Callable[[in
     def allowed(k: int, ends: np.ndarray) -> np.ndarray:
         if k > len(sieves):
             return np.ones(len(ends), bool)
+        if k == 1:
+            return sieves[0].passes(hashes)[x[ends]]
         return sieves[k - 1].passes(gram_hashes(hashes, x, ends, k))
 
     return allowed
@@ -180,7 +207,7 @@ def gram_hashes(hashes: np.ndarray, x: np.ndarray, ends: np.ndarray, k: int) ->
 
 
 _SHARDS = pa.schema([("lang", pa.string()), ("carried", pa.int32()), ("ids", pa.binary()), ("names", pa.binary())])
-_HASHES = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int64()), ("n", pa.int64())])
 
 
@@ -212,15 +239,15 @@ def shard_rows(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return rows
 
 
-def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, list[bytes]]]:
-    """Of each shard: lang, words carried over, words as numbers, and the words."""
+def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, bytes]]:
+    """Of each shard: lang, words carried over, words as numbers, and the words, joined by spaces."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         for i in range(b.num_rows):
             lang, carried, ids, names = (c[i].as_py() for c in b.columns)
-            yield lang, carried, np.frombuffer(unpack(ids), "<i4").astype(np.int64), unpack(names).split(b" ")
+            yield lang, carried, np.frombuffer(unpack(ids), "<i4").astype(np.int64), unpack(names)
 
 
 def paired(hashes: np.ndarray, x: np.ndarray, sieves: list[Sieve]) -> np.ndarray:
@@ -230,50 +257,95 @@ def paired(hashes: np.ndarray, x: np.ndarray, sieves: list[Sieve]) -> np.ndarray
     return np.unique(np.concatenate([x[ends], x[ends - 1]]))
 
 
-def hash_counts(k: int, sieves: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(hash, n) of the phrases of ``k`` words that the sieves let through; with k = 3 also of words in pairs, from 2 ** HASH_BITS."""
+def summed(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the sums of their counts."""
+    keys, inverse = numbered(hashes, 2 << HASH_BITS)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, inverse, n)
+    return keys, total
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def packed(hashes: np.ndarray, n: np.ndarray, low: int) -> pa.RecordBatch:
+    """Added up counts, a row for each range of hashes (all but their last ``low`` bits): those bits, then the counts."""
+    keys, total = summed(hashes, n)
+    part = keys >> low
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    bounds = [*starts.tolist(), len(keys)]
+    last, total = (keys & ((1 << low) - 1)).astype("<u4"), total.astype("<i8")
+    rows = [last[i:j].tobytes() + total[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(rows, pa.binary())], schema=_COUNTS)
+
+
+def hash_counts(k: int, sieves: list, low: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of hashes of the phrases of ``k`` words that the sieves let through; with k = 3 also words in pairs, from 2 ** HASH_BITS."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lang, carried, x, names in read_shards(batches):
             hashes = word_hashes(lang, names)
             a = Automaton(x, k, gate(hashes, x, [s.value for s in sieves]), carried)
             found = (a.length == k) & (a.count > 0)
             own = gram_hashes(hashes, x, a.end[found], k) >> np.uint64(64 - HASH_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a.count[found])], schema=_HASHES)
+            yield own.view(np.int64), a.count[found]
             if k == 3:
                 words = hashes[paired(hashes, x, [s.value for s in sieves])] >> np.uint64(64 - HASH_BITS)
-                marked = words.view(np.int64) + (1 << HASH_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(marked), pa.array(np.ones(len(words), np.int64))], schema=_HASHES)
+                yield words.view(np.int64) + (1 << HASH_BITS), np.ones(len(words), np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for found in counted(batches):
+            held.append(found)
+            size += len(found[0])
+            if size >= HELD:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)), low)
+                held, size = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)), low)
 
     return count
 
 
+def frequent_hashes(least: int, low: int) -> Callable[[pa.Table], pa.Table]:
+    """Of the rows of a range of hashes, those counted ``least`` times and the marked ones."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        raw = [r.as_buffer() for r in rows["counts"]]
+        sizes = [r.size // 12 for r in raw]
+        hashes = np.concatenate([np.frombuffer(r, "<u4", n) for r, n in zip(raw, sizes, strict=True)]).astype(np.int64)
+        keys, total = summed(hashes, np.concatenate([np.frombuffer(r, "<i8", n, 4 * n) for r, n in zip(raw, sizes, strict=True)]))
+        keys += part << low
+        return pa.table({"hash": keys[(total >= least) | (keys >= 1 << HASH_BITS)]})
+
+    return add
+
+
 def phrase_counts(sieves: list, useful, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(lang, phrase, words, n) of the phrases that the sieves let through; a null phrase has the number of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, carried, x, raw in read_shards(batches):
             hashes = word_hashes(lang, raw)
-            a = Automaton(x, depth, gate(hashes, x, [s.value for s in sieves]), carried)
-            single = (useful.value.passes(hashes) if useful else np.ones(len(raw), bool)).tolist()
-            numbers = x.tolist()
-            names = ["", *(w.decode() for w in raw[1:])]
-            spelled = [names[i] for i in numbers]
-            phrases, words, n = [None], [0], [int((x[carried:] > 0).sum())]
-            for first, end, count in a.phrases():
-                if end - first == 1 and not single[numbers[first]]:
-                    continue
-                phrases.append(" ".join(spelled[first:end])), words.append(end - first), n.append(count)
-            langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
-            yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(words), pa.array(n)], schema=_PHRASES)
+            end, words, n = Automaton(x, depth, gate(hashes, x, [s.value for s in sieves]), carried).listed()
+            if useful:
+                kept = (words > 1) | useful.value.passes(hashes)[x[end]]
+                end, words, n = end[kept], words[kept], n[kept]
+            names = pa.array([b"", *raw.split(b" ")[1:]], pa.binary()).cast(pa.string())
+            for k in range(1, depth + 1):
+                own = words == k
+                spelled = [names.take(pa.array(x[end[own] - i])) for i in range(k - 1, -1, -1)]
+                phrases = pc.binary_join_element_wise(*spelled, " ")
+                langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
+                yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(words[own]), pa.array(n[own])], schema=_PHRASES)
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "phrase": None, "words": 0, "n": int((x[carried:] > 0).sum())}], _PHRASES)
 
     return count
 
 
-def sieves_of(counts: DataFrame, least: int, bits: int) -> tuple[Sieve, Sieve]:
+def sieves_of(counts: DataFrame, least: int, bits: int, low: int) -> tuple[Sieve, Sieve]:
     """The hashes counted ``least`` times, and the marked ones; the driver gets bitmaps of a fixed size, however many they are."""
     marked = F.col("hash") >= F.lit(1 << HASH_BITS)
-    frequent = counts.groupBy("hash").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | marked)
+    frequent = counts.groupBy("part").applyInArrow(frequent_hashes(least, low), "hash long")
     place = F.shiftright(F.col("hash").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), HASH_BITS - bits) + 1
     found = frequent.groupBy(marked.alias("marked"), F.bitmap_bucket_number(place).alias("bucket"))
     rows = found.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("found")).collect()
@@ -286,19 +358,21 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, depth: int = DEPT
     From a depth of 3, single words are listed only where they belong to such a pair.
     """
     d = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
-    d = common.written(d.mapInArrow(shard_rows(depth), "lang string, carried int, ids binary, names binary"), "shards")
+    d = common.written(d.mapInArrow(common.released(shard_rows(depth)), "lang string, carried int, ids binary, names binary"), "shards")
     context = documents.sparkSession.sparkContext
     share = context.broadcast
+    made = d.count()
     # what is frequent is in every task's counts, so fewer tasks send less; most pairs are met once, whatever the task
-    gathered = d.coalesce(max(context.defaultParallelism, -(-d.count() // GATHERED)))
+    gathered = d.coalesce(max(context.defaultParallelism, -(-made // GATHERED)))
+    low = HASH_BITS - max(8, (made // RANGED).bit_length())  # so a range has about as many hashes, however many there are
     sieves: list = []
     useful = None
     for k in range(1, min(HASHED, depth) + 1):
-        counts = (d if k == 2 else gathered).mapInArrow(hash_counts(k, list(sieves)), "hash long, n long")
-        passing, marked = sieves_of(counts, least, bits)
+        counts = (d if k == 2 else gathered).mapInArrow(common.released(hash_counts(k, list(sieves), low)), "part int, counts binary")
+        passing, marked = sieves_of(counts, least, bits, low)
         sieves.append(share(passing))
         useful = share(marked) if k == 3 else None
-    counts = gathered.mapInArrow(phrase_counts(sieves, useful, depth), "lang string, phrase string, words long, n long")
+    counts = gathered.mapInArrow(common.released(phrase_counts(sieves, useful, depth)), "lang string, phrase string, words long, n long")
     counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))
     return common.written(counts, "phrases")
 

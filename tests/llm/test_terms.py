@@ -7,6 +7,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,35 @@ def test_a_crowded_sieve_loses_nothing(spark):
     assert pairs == {k: n for k, n in want.items() if not k[1] or k[1].count(" ") < 2}
 
 
+def test_counts_of_hashes_go_out_by_ranges(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 3000)
+    draw = random.Random(2)
+    texts = [" ".join(f"w{int(draw.expovariate(0.001))}" for _ in range(4000)) for _ in range(3)]
+    docs = pa.table({"lang": ["de", "en", "de"], "text": texts}).to_batches()
+    made = [b for d in docs for b in collocations.shard_rows(4)(iter([d]))] * 2
+    want: Counter = Counter()
+    for lang, text in zip(["de", "en", "de"], texts, strict=True):
+        for w, n in Counter(text.split()).items():
+            want[int(collocations.word_hashes(lang, w.encode())[0] >> np.uint64(64 - collocations.HASH_BITS))] += 2 * n
+    low = collocations.HASH_BITS - 8  # 256 ranges
+    rows = pa.Table.from_batches(collocations.hash_counts(1, [], low)(iter(made)))
+    assert len(want) > 3000 and rows.num_rows <= 6 * 256  # at most 6 times it adds up; before: a row for each hash and shard
+    for least in (1, 5):
+        got = []
+        for part in set(rows["part"].to_pylist()):
+            got += collocations.frequent_hashes(least, low)(rows.filter(pc.equal(rows["part"], part)))["hash"].to_pylist()
+        assert sorted(got) == sorted(h for h, n in want.items() if n >= least)
+
+
+@pytest.mark.parametrize("most", [0, 50, 1 << 40, (1 << 62) - 1])
+def test_numbered_is_as_unique(most):
+    for n in (0, 1, 500):
+        keys = np.random.default_rng(n).integers(0, most + 1, n)
+        keys[n // 2 :] = keys[: n - n // 2]
+        for got, want in zip(collocations.numbered(keys, most), np.unique(keys, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_collocations_of_odd_rows(spark):
     rows = [(1, "A b.C\td " * 40, None, "s"), (1, "a b. c d", "und", "s"), (2, None, "en", None), (None, "", None, None), (3, "x" * 100_000, "de", "s")]
     rows += [(4, "é ü \x1cz, " * 30, "", "s")]
