@@ -42,3 +42,19 @@ def test_commands_of_every_homograph(spark, folder):
         assert {r["entry"] for r in rows if r["surface"] == surface and r["headword"] == "zimba"} >= every
     most = [r["rank"] for r in rows if r["surface"] == "muzimbe"]  # each of four concords that are spelled mu
     assert sorted(most) == list(range(1, len(most) + 1)) and len(most) > lattice.ALL_READINGS
+
+
+def test_segmentations_to_every_homograph(spark, folder):
+    names, got, want = both(spark, folder, "mo13_dedupe")
+    assert got == want
+
+
+def test_segmentations_grow_with_homographs(spark, tmp_path):
+    """As many spellings of the only stem, so many times the segmentations and readings of one spelling."""
+    counts = []
+    for name, text in (("one", "zimba"), ("many", TEXTS[0])):
+        spark.createDataFrame([(1, text)], "doc_id int, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        d = registry.queries()["mo13_dedupe"](spark, f"{tmp_path}/{name}")
+        counts.append({(r.lane, r.polarity, r.subject_features): (r.segmentations, r.readings) for r in d.collect()})
+    one, many = counts
+    assert one and many == {k: (len(SPELLINGS) * a, len(SPELLINGS) * b) for k, (a, b) in one.items()}
